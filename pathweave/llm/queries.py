@@ -4,13 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, packing, repetition
+from ..runtime import written
+from . import alignment, bpe, langid, packing, repetition
 
 
 def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark, d):
+    """books_texts with one row per text and the language that its locale names."""
+    codes = [(r.code, r.code3) for r in _t(spark, d, "locales").select("code", "code3").collect()]  # six rows
+    one = _t(spark, d, "books_texts").where("text_ID is not null").groupBy("text_ID").agg(F.min(F.struct("ID", "locale", "descr")).alias("r")).select("text_ID", "r.*")
+    return one.withColumn("label", langid.locale_code(F.col("locale"), codes))
+
+
+def _books(spark, d):
+    return _t(spark, d, "books").where("ID is not null").groupBy("ID").agg(F.max_by("descr", F.struct("arrived_at", "descr")).alias("source"))
+
+
+def _dictionaries(spark, d):
+    return langid.fit(_texts(spark, d), "descr", "label", more=_t(spark, d, "books"))
+
+
+def p2_found(spark, d):
+    texts = _texts(spark, d)
+    segs = langid.segments(texts, "text_ID", "descr", _dictionaries(spark, d))
+    segs = written(segs.select("text_ID", "seg_no", "lang", "confidence"), "segments")
+    return langid.mislabelled(texts, "text_ID", "label", segs).where("lang is not null").select("text_ID", "seg_no", "lang")
+
+
+def p2_segments(spark, d):
+    return langid.segments(_texts(spark, d), "text_ID", "descr", _dictionaries(spark, d)).drop("text")
+
+
+def p4_found(spark, d):
+    joined = _texts(spark, d).join(_books(spark, d), "ID").select("text_ID", "source", F.col("descr").alias("target"), "label").where("source is not null and target is not null")
+    pairs = written(joined, "pairs")
+    dictionaries = _dictionaries(spark, d)
+    lexicon = alignment.fit(pairs, dictionaries)
+    # decoding is CPU-bound: small partitions, however few bytes there are
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    found = alignment.align(pairs.repartition(n, "text_ID"), "text_ID", lexicon, dictionaries)
+    return found.select("text_ID", F.col("source_sent").alias("book_sent"), F.col("target_sent").alias("text_sent"))
+
+
 def p6_ids(spark, d):
     return bpe.encode_texts(_t(spark, d, "documents"), "doc_id", "text", bpe.vocabulary("byte_bpe_50k"))
 
@@ -39,7 +77,7 @@ def p8_bands(spark, d):
     return repetition.repetition(_t(spark, d, "documents"), "doc_id", "text").select("doc_id", "n_words", "ratio", "chunk_ratio", "raw_ratio", "band", "share")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_packing, p7_use, p8_found, p8_bands)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p4_found, p6_ids, p6_round_trip, p7_packing, p7_use, p8_found, p8_bands)}
 
 ORACLE = {
     "p6_round_trip": "select doc_id from documents where text is null",
