@@ -23,7 +23,7 @@ from .parser import parse, parse_expr
 TYPES = {
     "string": "string", "uuid": "string", "largestring": "string", "boolean": "boolean", "uint8": "smallint", "int16": "smallint", "int32": "int", "integer": "int",
     "int64": "bigint", "integer64": "bigint", "decimal": "decimal(38,10)", "double": "double", "decimalfloat": "double", "date": "date", "time": "string", "datetime": "timestamp",
-    "timestamp": "timestamp", "binary": "binary", "largebinary": "binary", "vector": "array<float>", "map": "variant", "hana.tinyint": "smallint", "hana.real": "float",
+    "timestamp": "timestamp", "binary": "binary", "largebinary": "binary", "vector": "array<float>", "map": "variant", "tinyint": "smallint", "real": "float",
 }
 
 
@@ -257,7 +257,7 @@ class Lowering:
             if b.leaves is not None:
                 raise ModelError("Structured elements can't be cast to a different type")
             base, _, size = e.type.partition("(")
-            kind = TYPES.get(base.lower().removeprefix("cds."), base)
+            kind = TYPES.get(base.lower(), base)
             return Bound(b.column.cast(f"{kind.partition('(')[0]}({size}" if size and kind.startswith("decimal") else kind), b.element)
         if isinstance(e, A.Case):
             out = None
@@ -695,7 +695,7 @@ class Lowering:
             items = self.items(q.items or (), scope, q.excluding)
             return self.engine.spark.range(1).select(*[self.scalar(i.expr, scope).column.alias(n) for n, i in items.items()])
         if isinstance(q.source, A.Join) and q.items is None:
-            raise ModelError("CQN query using joins must specify the selected columns.")
+            raise ModelError("queries using joins must specify the selected columns")
         sources, df = self.table(q.source, outer)
         scope = Scope(self, sources, outer)
         return self.select(q, scope, df)
