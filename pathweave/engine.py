@@ -59,6 +59,8 @@ class Engine:
         self.search_all_terms = search_all_terms
         self.tables: dict[str, DataFrame] = {}
         self.procedures: dict[str, Callable] = {}
+        #: Sources by name, ``from name(argument: value)``: (engine, **arguments) -> DataFrame
+        self.functions: dict[str, Callable] = {"hierarchy": _hierarchy, "descendants": _descendants, "ancestors": _ancestors}
 
     # data ----------------------------------------------------------------------------------------------------------
 
@@ -151,6 +153,45 @@ class Engine:
         return self.spark.createDataFrame(rows, "name string, kind string")
 
 
+def _hierarchy(engine: Engine, entity: str, parent: str, node: str | None = None, sibling: str | None = None, levels: int | None = None) -> DataFrame:
+    """An entity with its hierarchy columns: level, rank, tree_size, drill_state and so on."""
+    from .operators.tree import hierarchy, top_levels
+
+    node = node or engine.model.entity(entity).keys()[0]
+    h = hierarchy(engine.rows(entity), node, parent, sibling)
+    return engine.rows(entity).dropDuplicates([node]).drop(parent).join(top_levels(h, levels).drop("path"), node)
+
+
+def _near(engine: Engine, entity: str, parent: str, start: str, node: str | None):
+    from .operators.tree import hierarchy
+
+    node = node or engine.model.entity(entity).keys()[0]
+    h = hierarchy(engine.rows(entity), node, parent)
+    picked = engine.run(f"SELECT from {entity}[{start}] {{ {node} as __start }}")
+    marked = h.join(picked.distinct(), h[node] == picked["__start"], "left")
+    return engine.rows(entity).dropDuplicates([node]), marked, node
+
+
+def _descendants(engine: Engine, entity: str, parent: str, start: str, node: str | None = None, low: int = 1, high: int | None = None) -> DataFrame:
+    """Rows below those that meet the condition ``start``, with their distance."""
+    from .operators.tree import descendants
+
+    rows, h, node = _near(engine, entity, parent, start, node)
+    from pyspark.sql import functions as F
+
+    return rows.join(descendants(h, F.col("__start").isNotNull(), low, high).select(node, "level", "rank", "distance"), node)
+
+
+def _ancestors(engine: Engine, entity: str, parent: str, start: str, node: str | None = None, keep_start: bool = True) -> DataFrame:
+    """Rows above those that meet the condition ``start``, and these, with distances 0, -1, ..."""
+    from .operators.tree import ancestors
+
+    rows, h, node = _near(engine, entity, parent, start, node)
+    from pyspark.sql import functions as F
+
+    return rows.join(ancestors(h, F.col("__start").isNotNull(), keep_start).select(node, "level", "rank", "distance"), node)
+
+
 def _all_json():
     from pyspark.sql import functions as F
 

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import fs
 
+#: Files up to so many bytes get a checksum of their contents.
+WHOLE = 256 << 20
+
 _INDEX = "tab string, rec_key string, run_no int, changed timestamp, arrived timestamp, vals bigint"
 _FILES = "tab string, path string, size bigint, modified timestamp, checksum string, batch string"
 
@@ -92,15 +95,22 @@ class IncrementalLoad:
     def pending_files(self) -> DataFrame:
         """Files of the listing that the manifest doesn't have: unknown, or changed by size or checksum.
 
-        Only files whose name, size and time aren't in the manifest are read for a checksum.
+        Only files whose name, size and time aren't in the manifest are read for a checksum; those above WHOLE bytes, which don't fit
+        one row, are told apart by their time.
         """
         known = self.manifest()
         fresh = self.listing().join(known.select("tab", "path", "size", "modified"), ["tab", "path", "size", "modified"], "left_anti")
-        paths = [r.path for r in fresh.select("path").distinct().collect()]  # names of new files, not their rows
-        if not paths:
+        new = fresh.select("path", "size").distinct().collect()  # names of new files, not their rows
+        if not new:
             return self.spark.createDataFrame([], _FILES).drop("batch")
-        sums = self.spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("checksum"))
-        return fresh.join(sums, "path").join(known.select("tab", "path", "size", "checksum"), ["tab", "path", "size", "checksum"], "left_anti").select("tab", "path", "size", "modified", "checksum")
+        small = [r.path for r in new if r["size"] <= WHOLE]
+        if small:
+            sums = self.spark.read.format("binaryFile").load(small).select("path", F.sha2("content", 256).alias("checksum"))
+        else:
+            sums = self.spark.createDataFrame([], "path string, checksum string")
+        by_time = F.concat(F.lit("modified "), F.unix_micros("modified").cast("string"))
+        summed = fresh.join(sums, "path", "left").withColumn("checksum", F.coalesce("checksum", by_time))
+        return summed.join(known.select("tab", "path", "size", "checksum"), ["tab", "path", "size", "checksum"], "left_anti").select("tab", "path", "size", "modified", "checksum")
 
     # rows ----------------------------------------------------------------------------------------------------------
 

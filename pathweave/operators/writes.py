@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..model import Entity, ModelError
+from ..plans import ast as A
 from ..plans.lower import Lowering, Scope
-from ..plans.parser import parse_expr
+from ..plans.parser import parse, parse_expr
 from ..sources.files import schema_of
 from ..sources.store import Store
 
@@ -42,6 +43,34 @@ class Writer:
             raise ModelError(f'"{name}" is a view; write to its table')
         return e
 
+    def _table(self, name: str) -> tuple[str, dict[str, str]]:
+        """The table behind a view that only picks and renames columns of one table, and its columns by those of the view."""
+        e = self.engine.model.entity(name)
+        names: dict[str, str] = {}
+        if e.query is None:
+            return name, names
+        q = parse(e.query)
+        plain = isinstance(q.source, A.Table) and q.source.ref is not None and not q.source.path and not q.group and not q.unions and q.limit is None
+        if not plain:
+            raise ModelError(f'"{name}" is no view of one table; write to its tables')
+        base, inner = self._table(q.source.ref.names[0])
+        for i in q.items or (A.Item(star=True),):
+            if i.star:
+                names |= {c: inner.get(c, c) for c in self.engine.model.entity(base).flat() if c not in q.excluding}
+            elif isinstance(i.expr, A.Ref) and len(i.expr.steps) == 1:
+                c = i.expr.names[0]
+                names[i.alias or c] = inner.get(c, c)
+        return base, names
+
+    def _through(self, name: str, data):
+        """Data written to a view, with the names of its table."""
+        base, names = self._table(name)
+        if not names or isinstance(data, str):
+            return base, data
+        if isinstance(data, DataFrame):
+            return base, data.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in data.columns])
+        return base, [{names.get(k, k): v for k, v in dict(r).items()} for r in data]
+
     def create(self, name: str, if_not_exists: bool = False) -> None:
         self.store.create(name, schema_of(self._entity(name)), if_not_exists)
         self._refresh(name)
@@ -98,6 +127,7 @@ class Writer:
 
     def insert(self, name: str, data: DataFrame | Iterable[Mapping] | str) -> int:
         """Adds rows; data is a DataFrame, rows as mappings, or a query of the language. The number of rows."""
+        name, data = self._through(name, data)
         entity = self._entity(name)
         df = self._filled(entity, self._frame(entity, self.engine.run(data) if isinstance(data, str) else data))
         if not isinstance(data, (DataFrame, str)):
@@ -119,6 +149,7 @@ class Writer:
 
         Of several rows with one key the last in a total order of their values counts.
         """
+        name, data = self._through(name, data)
         entity = self._entity(name)
         keys = entity.keys()
         new = self._frame(entity, data)
@@ -156,9 +187,19 @@ class Writer:
 
     def update(self, name: str, where: str | None = None, data: Mapping | None = None, exprs: Mapping[str, str] | None = None, **params) -> None:
         """Sets columns of the rows that meet the condition: data holds values, exprs expressions over the old row."""
-        entity = self._entity(name)
         if not data and not exprs:
             return
+        base, names = self._table(name)
+        if names:
+            # the view's rows by key, then the table's columns
+            keys = self._entity(base).keys()
+            back = {v: k for k, v in names.items()}
+            rows = self.engine.run(f"SELECT from {name} as v {{ {', '.join(f'v.{back[k]} as {k}' for k in keys)} }}" + (f" where {where}" if where else ""), **params)
+            for c, x in (exprs or {}).items():
+                raise ModelError(f'expressions can\'t be written through "{name}": {c} = {x}')
+            self.upsert(base, rows.select(*keys, *[F.lit(v).alias(names.get(c, c)) for c, v in (data or {}).items()]))
+            return
+        entity = self._entity(name)
         flagged = self._hit(entity, where, params)
         types = {f.name: f.dataType for f in schema_of(entity)}
         unknown = [c for c in {**(data or {}), **(exprs or {})} if c not in types]
@@ -179,8 +220,17 @@ class Writer:
 
     def delete(self, name: str, where: str | None = None, **params) -> None:
         """Removes the rows that meet the condition, and before them the rows of their compositions, level by level."""
-        entity = self._entity(name)
-        self._delete(entity, self._hit(entity, where, params), self.depth, ())
+        base, names = self._table(name)
+        entity = self._entity(base)
+        if not names:
+            self._delete(entity, self._hit(entity, where, params), self.depth, ())
+            return
+        keys = entity.keys()
+        back = {v: k for k, v in names.items()}
+        rows = self.engine.run(f"SELECT from {name} as v {{ {', '.join(f'v.{back[k]} as {k}' for k in keys)} }}" + (f" where {where}" if where else ""), **params)
+        table = self.engine.rows(base)
+        flagged = table.join(rows.distinct().withColumn("__hit", F.lit(True)), keys, "left").select(*[table[c] for c in table.columns], F.coalesce("__hit", F.lit(False)).alias("__hit"))
+        self._delete(entity, flagged, self.depth, ())
 
     def _delete(self, entity: Entity, flagged: DataFrame, depth: int, above: tuple[str, ...]) -> None:
         for e in entity.elements.values():

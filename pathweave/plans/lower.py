@@ -147,6 +147,11 @@ class Lowering:
             n = self.node(_free_entity(name, df), df, name)
             return {name: n}, n.df
         first = t.ref.steps[0]
+        if first.id in self.engine.functions and first.id not in self.engine.model.entities:
+            df = self.engine.functions[first.id](self.engine, **{k: self.value(v) for k, v in first.args})
+            name = t.alias or first.id
+            n = self.node(_free_entity(name, df), df, name)
+            return {name: n}, n.df
         entity = self.known(".".join(t.ref.names) if ".".join(t.ref.names) in self.engine.model.entities else first.id)
         steps = t.ref.steps[len(entity.name.split(".")) :] if len(t.ref.steps) > 1 else ()
         path = [*steps, *t.path]

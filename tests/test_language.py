@@ -146,6 +146,14 @@ def test_session_localisation_and_output(engine):
     assert engine.catalog().count() == 5
 
 
+def test_function_sources(engine, spark):
+    assert got(engine, "SELECT from hierarchy(entity: 'Genres', parent: 'parent_ID') { ID, name, level, rank, drill_state }") == [(10, "g", 1, 1, "expanded"), (11, "h", 2, 2, "leaf")]
+    assert got(engine, "SELECT from descendants(entity: 'Genres', parent: 'parent_ID', start: 'ID = 10') { ID, distance }") == [(11, 1)]
+    assert got(engine, "SELECT from ancestors(entity: 'Genres', parent: 'parent_ID', start: 'ID = 11') as a { a.ID, distance }") == [(10, -1), (11, 0)]
+    engine.functions["numbers"] = lambda e, n: e.spark.range(n)
+    assert got(engine, "SELECT from numbers(n: 3) { id + 1 as k } where id > 0") == [(2,), (3,)]
+
+
 def test_main_reference(engine):
     assert got(engine, "SELECT from Authors as a { ID, (SELECT from Books as b { count(*) as n } where b.author_ID = a.ID) as n }") == [(1, 2), (2, 1), (3, 0)]
 

@@ -23,6 +23,7 @@ SPEC = {
         }
     },
     "pages": {"elements": {"pid": {"type": "UUID", "key": True}, "book": "Integer", "text": "String"}},
+    "cheap": {"elements": {"no": {"type": "Integer", "key": True}, "name": "String"}, "query": "SELECT from books { ID as no, title as name } where stock < 5"},
     "nodes": {"elements": {"ID": {"type": "Integer", "key": True}, "up": "Integer", "kids": {"target": "nodes", "many": True, "on": "kids.up = ID", "composition": True}}},
 }
 
@@ -30,8 +31,9 @@ SPEC = {
 @pytest.fixture
 def writer(spark, tmp_path):
     w = Writer(Engine(spark, Model.from_dict(SPEC)), Store(spark, f"file://{tmp_path}/s"))
-    for n in SPEC:
-        w.create(n)
+    for n, e in SPEC.items():
+        if "query" not in e:
+            w.create(n)
     return w
 
 
@@ -121,3 +123,12 @@ def test_files(spark, tmp_path):
     assert '"b":null' in "".join(p.read_text() for p in (tmp_path / "o.json").glob("part*"))
     files.write_parquet(df, f"{tmp_path}/o.parquet")
     assert files.read_parquet(spark, f"{tmp_path}/o.parquet").count() == 1
+
+
+def test_through_views(writer):
+    writer.insert("cheap", [{"no": 1, "name": "a"}, {"no": 2, "name": "b"}])
+    writer.update("books", "ID = 1", data={"stock": 1})
+    writer.update("cheap", data={"name": "c"})
+    assert rows(writer, "SELECT from books { ID, title }") == [(1, "c"), (2, "b")]
+    writer.delete("cheap", "name = 'c'")
+    assert rows(writer, "SELECT from books { ID }") == [(2,)]
