@@ -7,21 +7,25 @@ arrived after a child are kept; what is left of the children meets them in a sal
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import KeyKind
+from ..runtime import written
+
 
 @dataclass(frozen=True)
 class Keyed:
-    """A table of records: its name, rows, own key and the canonical spelling of that key."""
+    """A table of records: its name, rows, own key and how keys of the table are spelled."""
 
     tab: str
     rows: DataFrame
     key: str
-    canon: Callable[[Column], Column]
+    kind: KeyKind
     created: str = "createdAt"
     arrived: str = "arrived_at"
 
@@ -41,61 +45,50 @@ class Integrity:
     references: Sequence[Reference]
     removals: DataFrame
     salts: int = 16
-    by_name: dict = field(init=False, default_factory=dict)
 
-    def __post_init__(self):
-        self.by_name.update({t.tab: t for t in self.tables})
+    def _number(self, tab: str) -> int:
+        return next(i for i, t in enumerate(self.tables) if t.tab == tab)
 
     def records(self, t: Keyed) -> DataFrame:
-        """(key, first, created, one reference per field): one row per record; copies and versions are merged map-side first.
+        """(key, first, created, ref_0, ...): one row per record, keys in their short form; copies and versions are merged map-side first.
 
         Where versions of a record name different targets, the one that arrived last counts.
         """
         refs = [r for r in self.references if r.child == t.tab]
-        canon = {r.field: self.by_name[r.parent].canon(F.col(r.field)) for r in refs}
-        rows = t.rows.select(
-            t.canon(F.col(t.key)).alias("key"), F.col(t.arrived).alias("arrived"), F.col(t.created).alias("created"), *[c.alias(f"ref_{i}") for i, c in enumerate(canon.values())]
-        ).where("key is not null")
-        return rows.groupBy("key").agg(
-            F.min("arrived").alias("first"),
-            F.max("created").alias("created"),
-            *[F.max_by(f"ref_{i}", F.struct("arrived", f"ref_{i}")).alias(f"ref_{i}") for i in range(len(canon))],
-        )
-
-    def removed(self, t: Keyed) -> DataFrame:
-        return self.removals.where(F.col("tab") == t.tab).select(t.canon(F.col("rec_key")).alias("key"), "removed_at").where("key is not null").groupBy("key").agg(F.max("removed_at").alias("removed"))
+        packed = [self.tables[self._number(r.parent)].kind.pack(F.col(f"`{r.field}`")).alias(f"ref_{i}") for i, r in enumerate(refs)]
+        rows = t.rows.select(t.kind.pack(F.col(f"`{t.key}`")).alias("key"), F.col(t.arrived).alias("arrived"), F.col(t.created).alias("created"), *packed).where("key is not null")
+        named = F.max_by(F.struct(*[f"ref_{i}" for i in range(len(refs))]), F.struct("arrived", *[f"ref_{i}" for i in range(len(refs))]))
+        merged = rows.groupBy("key").agg(F.min("arrived").alias("first"), F.max("created").alias("created"), *([named.alias("refs")] if refs else []))
+        return merged.select("key", "first", "created", "refs.*") if refs else merged
 
     def long_form(self) -> DataFrame:
-        """(ptab, key, side, first, created, removed, tab, field, rec_key): all parent, removal and child keys, tagged.
+        """(ptab, key, ref, first, at, rec_key): all keys, tagged; tables and references go by their numbers.
 
-        Each table is read and merged once; a record gives its own key as a parent and one row per reference.
+        ref tells the side: -1 a parent's own key (at: created), -2 a removal (at: removed), else the number of the reference, whose record is
+        rec_key. Each table is read and merged once; a record gives its own key and one row per reference.
         """
         parts = []
-        none = {"removed": "timestamp", "created": "timestamp", "first": "timestamp"}
-        parents = {r.parent for r in self.references} | {r.child for r in self.references}
-        for t in self.tables:
-            refs = [r for r in self.references if r.child == t.tab]
-            sides = [F.struct(F.lit(t.tab).alias("ptab"), F.col("key"), F.lit("parent").alias("side"), F.lit(None).cast("string").alias("field"))]
-            sides += [F.struct(F.lit(r.parent).alias("ptab"), F.col(f"ref_{i}").alias("key"), F.lit("child").alias("side"), F.lit(r.field).alias("field")) for i, r in enumerate(refs)]
-            rec = self.records(t).select(F.explode(F.array(*sides)).alias("s"), "first", "created", F.col("key").alias("rec_key"))
-            parts.append(rec.where("s.key is not null").select("s.ptab", "s.key", "s.side", "first", "created", F.lit(None).cast("timestamp").alias("removed"), F.lit(t.tab).alias("tab"), "s.field", "rec_key"))
-            if t.tab in parents:
-                gone = self.removed(t)
-                parts.append(gone.select(F.lit(t.tab).alias("ptab"), "key", F.lit("removal").alias("side"), *[F.lit(None).cast(none[c]).alias(c) for c in ("first", "created")], "removed", F.lit(None).cast("string").alias("tab"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("rec_key")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    def keys(self, long: DataFrame) -> DataFrame:
+        tiny = lambda n: F.lit(n).cast("tinyint")
+        none = F.lit(None)
+        for n, t in enumerate(self.tables):
+            refs = [(i, r) for i, r in enumerate(self.references) if r.child == t.tab]
+            sides = [F.struct(tiny(n).alias("ptab"), F.col("key"), tiny(-1).alias("ref"), F.col("created").alias("at"), none.cast("binary").alias("rec_key"))]
+            sides += [F.struct(tiny(self._number(r.parent)).alias("ptab"), F.col(f"ref_{k}").alias("key"), tiny(i).alias("ref"), none.cast("timestamp").alias("at"), F.col("key").alias("rec_key")) for k, (i, r) in enumerate(refs)]
+            parts.append(self.records(t).select(F.explode(F.array(*sides)).alias("s"), "first").where("s.key is not null").select("s.ptab", "s.key", "s.ref", "first", "s.at", "s.rec_key"))
+            gone = self.removals.where(F.col("tab") == t.tab).select(t.kind.pack(F.col("rec_key")).alias("key"), "removed_at").where("key is not null")
+            parts.append(gone.select(tiny(n).alias("ptab"), "key", tiny(-2).alias("ref"), none.cast("timestamp").alias("first"), F.col("removed_at").alias("at"), none.cast("binary").alias("rec_key")))
+        return reduce(DataFrame.unionByName, parts)
+
+    @staticmethod
+    def keys(long: DataFrame) -> DataFrame:
         """(ptab, key, there, gone, since, wanted): one row per parent table and key."""
-        own = F.col("side") == "parent"
+        own = F.col("ref") == -1
         k = long.groupBy("ptab", "key").agg(
             F.max(own).alias("there"),
-            F.max(F.when(own, F.col("created"))).alias("created"),
-            F.max("removed").alias("removed"),
+            F.max(F.when(own, F.col("at"))).alias("created"),
+            F.max(F.when(F.col("ref") == -2, F.col("at"))).alias("removed"),
             F.max(F.when(own, F.col("first"))).alias("since"),
-            F.min(F.when(F.col("side") == "child", F.col("first"))).alias("wanted"),
+            F.min(F.when(F.col("ref") >= 0, F.col("first"))).alias("wanted"),
         )
         # listed and not created after: deleted; listed without a row: deleted
         gone = F.col("removed").isNotNull() & (~F.col("there") | F.col("created").isNull() | (F.col("removed") >= F.col("created")))
@@ -108,16 +101,19 @@ class Integrity:
         all-zero references are none. Copies of a record count once. Empty tables give no rows; a table
         without removals has no deleted records. Other columns are ignored, whatever their names.
         """
-        long = self.long_form()
-        keys = self.keys(long)
-        # groups lacking their parent, or whose parent is deleted or may be late
-        bad = keys.where("wanted is not null and (not there or gone or since > wanted)").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
-        child = long.where("side = 'child'").select("ptab", "key", "tab", "field", "rec_key", "first").withColumn("salt", F.pmod(F.hash("rec_key"), F.lit(self.salts)))
-        hits = child.join(bad, ["ptab", "key", "salt"])
+        long = written(self.long_form(), "keys")
+        # groups lacking their parent, or whose parent is deleted or may be late; and all deleted records
+        flawed = written(self.keys(long).where("gone or (wanted is not null and (not there or since > wanted))"), "flawed")
+        bad = flawed.where("wanted is not null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
+        child = long.where("ref >= 0").select("ptab", "key", "ref", "rec_key", "first").withColumn("salt", F.pmod(F.hash("rec_key"), F.lit(self.salts)))
         reason = F.when(F.col("gone"), "deleted").when(~F.col("there"), "missing").when(F.col("since") > F.col("first"), "late")
-        hits = hits.select("tab", F.date_format("first", "yyyy-MM").alias("ym"), F.col("field").alias("ref_field"), "rec_key", reason.alias("reason")).where("reason is not null")
-        dead = keys.where("gone").select(F.col("ptab").alias("tab"), F.col("key").alias("rec_key"))
-        return hits.join(dead, ["tab", "rec_key"], "left_anti")
+        hits = child.join(bad, ["ptab", "key", "salt"]).select("ref", "rec_key", "first", reason.alias("reason")).where("reason is not null")
+        tabs = F.array(*[F.lit(self._number(r.child)).cast("tinyint") for r in self.references])
+        dead = flawed.where("gone").select(F.col("ptab").alias("tab"), F.col("key").alias("rec_key"))
+        alive = hits.withColumn("tab", F.get(tabs, F.col("ref").cast("int"))).join(dead, ["tab", "rec_key"], "left_anti")
+        names, fields = F.array(*[F.lit(t.tab) for t in self.tables]), F.array(*[F.lit(r.field) for r in self.references])
+        spelled = reduce(lambda c, n: c.when(F.col("tab") == n, self.tables[n].kind.unpack(F.col("rec_key"))), range(len(self.tables)), F)
+        return alive.select(F.get(names, F.col("tab").cast("int")).alias("tab"), F.date_format("first", "yyyy-MM").alias("ym"), F.get(fields, F.col("ref").cast("int")).alias("ref_field"), spelled.alias("rec_key"), "reason")
 
 
 def per_period(found: DataFrame) -> DataFrame:

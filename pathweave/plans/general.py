@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import int_key, uuid_key
+from ..functions.keys import NUMBER, UUID, uuid_key
 from ..operators import hierarchy_links as H
 from ..operators.incremental import Feed, IncrementalLoad
 from ..operators.orphans import Integrity, Keyed, Reference, per_period
@@ -41,7 +41,7 @@ def p3_found(spark, d):
 
 
 def integrity(spark, d) -> Integrity:
-    tables = [Keyed(t, _t(spark, d, t), k, uuid_key) for t, k in FEEDS] + [Keyed(t, _t(spark, d, t), "ID", int_key) for t in ("books", "authors")]
+    tables = [Keyed(t, _t(spark, d, t), k, UUID) for t, k in FEEDS] + [Keyed(t, _t(spark, d, t), "ID", NUMBER) for t in ("books", "authors")]
     refs = [
         Reference("booking", "to_Travel_TravelUUID", "travel"),
         Reference("booking_supplement", "to_Travel_TravelUUID", "travel"),
