@@ -864,7 +864,7 @@ class Lowering:
                 df = df.where(self.matches([F.col(f"`{n}`") for n in self._search_aggregates(q, names)], q.search))
         else:
             for n, i in many:
-                df, columns[n] = self.to_many(n, i, scope, df)
+                df, columns[n] = self.to_many(n, i, scope, df, q.where is not None)
             df = df.select(*[c.alias(n) for n, c in columns.items()], *extras)
         if q.distinct:
             df = df.distinct()
@@ -956,10 +956,11 @@ class Lowering:
                 elements = e.elements
         return entity
 
-    def to_many(self, name: str, i: A.Item, scope: Scope, df: DataFrame) -> tuple[DataFrame, Column]:
+    def to_many(self, name: str, i: A.Item, scope: Scope, df: DataFrame, reduced: bool = False) -> tuple[DataFrame, Column]:
         """An array of structures per row, [] where there are none.
 
-        The target's rows are aggregated by their keys once and then joined; order and limit hold within a parent, by a rank.
+        The target's rows are aggregated by their keys once and then joined; order and limit hold within a parent, by a rank. If the
+        parents are filtered, a semi join by the same keys comes first: it needs no other shuffle, and only their children are packed.
         """
         node, steps = self.start(i.expr, scope)
         if len(steps) != 1:
@@ -986,9 +987,13 @@ class Lowering:
             else:
                 made[n] = inner.to_one(x, iscope, None)
         order = [inner.sorted(s, iscope) for s in i.order]
+        if reduced:
+            tag = self.alias("parents")
+            wanted = df.select(*[s.alias(f"{tag}__{k}") for k, (s, _) in enumerate(pairs)]).distinct()
+            t.df = t.df.join(wanted, _and([c == F.col(f"{tag}__{k}") for k, (_, c) in enumerate(pairs)]), "left_semi")
         child = inner.where(t.df, i.where, iscope)
         for n, x in nested:
-            child, made[n] = inner.to_many(n, x, iscope, child)
+            child, made[n] = inner.to_many(n, x, iscope, child, reduced or i.where is not None)
         fk = [f"__fk{k}" for k in range(len(pairs))]
         child = child.select(*[c.alias(k) for (_, c), k in zip(pairs, fk)], F.struct(*[c.alias(n) for n, c in made.items()]).alias("__row"), *([F.row_number().over(Window.partitionBy(*[c for _, c in pairs]).orderBy(*order)).alias("__rn")] if order or i.limit is not None or i.offset else []))
         ranked = "__rn" in child.columns
