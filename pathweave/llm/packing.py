@@ -22,6 +22,10 @@ from ..runtime import written
 from .bpe import TOKENIZERS, loaded, vocabulary
 
 
+#: Most rows of a shard, on average.
+SHARD_ROWS = 300_000
+
+
 def token_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str) -> DataFrame:
     """(id, source, tokens): rows don't leave their partition; null and empty texts have no tokens, a null source is its own."""
     types = {f.name: f.dataType.simpleString() for f in docs.select(id_col, source_col).schema}
@@ -117,14 +121,15 @@ def pack(sizes: DataFrame, kind: str, capacity: int, shares: dict | None = None,
     A text that fits is never split; a longer one fills ``tokens // capacity`` containers of its own, its rest is packed like others. Texts
     without tokens are placed and take no space. Repeated rows are packed as often as they come; a null id stays null. shares: target token
     proportions by source, by default those of the corpus; sources without a share come when the others have run out. An empty
-    table gives no containers. Shards hold about ``shard_tokens`` tokens, or a million rows if these are short.
+    table gives no containers. Shards hold about ``shard_tokens`` tokens, or SHARD_ROWS rows if these are short;
+    a column ``pos`` that is fixed for a row, if there is one, spreads rows that are alike over shards.
     """
     if capacity < 1:
         raise ValueError("a container needs room for a token")
-    sized = sizes.select("id", "source", "tokens")
+    sized = sizes.select("id", "source", "tokens", F.col("pos") if "pos" in sizes.columns else F.lit(0).alias("pos"))
     total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
-    shards = max(1, -(-total.t // shard_tokens), -(-total.n // 1_000_000))
-    sharded = sized.withColumn("shard", F.pmod(F.xxhash64("id", "source", "tokens"), F.lit(shards)).cast("long"))
+    shards = max(1, -(-total.t // shard_tokens), -(-total.n // SHARD_ROWS))
+    sharded = sized.withColumn("shard", F.pmod(F.xxhash64("id", "source", "tokens", "pos"), F.lit(shards)).cast("long"))
     mine = sharded.groupBy("shard", "source").agg(F.sum("tokens").alias("own"))
     if shares is None:
         target = sized.groupBy("source").agg((F.sum("tokens") / F.lit(max(1, total.t))).alias("share"))
@@ -167,7 +172,8 @@ def pack_all(docs: DataFrame, capacities: DataFrame, id_col: str = "doc_id", tex
     out = None
     for k in sorted(kinds):
         if k.tokenizer not in measured:
-            measured[k.tokenizer] = written(token_counts(docs, id_col, text_col, source_col, vocabulary(k.tokenizer, tokenizers)), "tokens")
+            counted = token_counts(docs, id_col, text_col, source_col, vocabulary(k.tokenizer, tokenizers))
+            measured[k.tokenizer] = written(counted.withColumn("pos", F.monotonically_increasing_id()), "tokens")
         p = pack(measured[k.tokenizer], k.kind, k.capacity_tokens, **how)
         out = p if out is None else out.unionByName(p)
     if out is None:

@@ -84,3 +84,10 @@ def test_whole_texts(spark):
     assert {(r.kind, r.doc_id) for r in out} == {(k, i) for k in ("small", "large") for i in (1, 2, 3, 4)}
     assert len([r for r in out if r.kind == "large" and r.doc_id == 3]) == 1
     assert [r.kind for r in P.use(P.pack_all(docs, caps), caps).orderBy("kind").collect()] == ["large", "small"]
+
+
+def test_rows_that_are_alike_are_spread(spark):
+    df = spark.range(3000).selectExpr("cast(null as bigint) as id", "'s' as source", "cast(7 as bigint) as tokens", "id as pos")
+    out = P.pack(df, "k", 70, shard_tokens=3000).collect()
+    per = Counter(r.container.split("-")[1] for r in out)
+    assert len(out) == 3000 and len(per) == 7 and max(per.values()) < 600
