@@ -52,11 +52,15 @@ class Session:
 
 
 class Engine:
-    """Runs queries against DataFrames. Everything returns a lazy DataFrame unless said otherwise."""
+    """Runs queries against DataFrames. Everything returns a lazy DataFrame unless said otherwise.
 
-    def __init__(self, spark: SparkSession, model: Model, session: Session | None = None, search_all_terms: bool = False):
+    search_all_terms: a search has to find all of its terms, not only the first. fuzzy: least similarity (0 to 1) of a word to a term that
+    counts as found. collation: the order of texts in ``order by``, such as UNICODE_CI or de.
+    """
+
+    def __init__(self, spark: SparkSession, model: Model, session: Session | None = None, search_all_terms: bool = False, fuzzy: float | None = None, collation: str | None = None):
         self.spark, self.model, self.session = spark, model, session or Session()
-        self.search_all_terms = search_all_terms
+        self.search_all_terms, self.fuzzy, self.collation = search_all_terms, fuzzy, collation
         self.tables: dict[str, DataFrame] = {}
         self.procedures: dict[str, Callable] = {}
         #: Sources by name, ``from name(argument: value)``: (engine, **arguments) -> DataFrame

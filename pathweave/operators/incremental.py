@@ -36,8 +36,16 @@ class Feed:
     arrived: str = "arrived_at"
 
 
+def _wall(time) -> Column:
+    return F.lit(str(time)).cast("timestamp_ntz")
+
+
 def first_run(arrived: Column, cuts: Sequence[tuple[int, object]]) -> Column:
-    """The first run, by number, whose cut is not before ``arrived``; null if none. A balanced tree of comparisons."""
+    """The first run, by number, whose cut is not before ``arrived``; null if none. A balanced tree of comparisons.
+
+    Cuts are wall-clock times of the session's time zone, whatever the zone of this process.
+    """
+    arrived = arrived.cast("timestamp_ntz")
     rising: list[tuple[int, object]] = []
     for run, cut in sorted(cuts):
         if cut is not None and (not rising or cut > rising[-1][1]):
@@ -46,9 +54,9 @@ def first_run(arrived: Column, cuts: Sequence[tuple[int, object]]) -> Column:
     def pick(lo: int, hi: int) -> Column:
         if lo == hi:
             run, cut = rising[lo]
-            return F.when(arrived <= F.lit(cut), F.lit(run))
+            return F.when(arrived <= _wall(cut), F.lit(run))
         mid = (lo + hi) // 2
-        return F.when(arrived <= F.lit(rising[mid][1]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
+        return F.when(arrived <= _wall(rising[mid][1]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
 
     return pick(0, len(rising) - 1) if rising else F.lit(None).cast("int")
 

@@ -647,7 +647,15 @@ class Lowering:
         words = words if self.engine.search_all_terms else words[:1]
         if not cols or not words:
             return F.lit(False) if words else F.lit(True)
-        return _and([reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c.cast("string")), F.lit(w.lower())), F.lit(False)) for c in cols]) for w in words])
+        return _and([reduce(lambda a, b: a | b, [F.coalesce(self.hit(F.lower(c.cast("string")), w.lower()), F.lit(False)) for c in cols]) for w in words])
+
+    def hit(self, text: Column, term: str) -> Column:
+        """Contains the term; with a fuzzy threshold also some word that is at least that similar to it."""
+        found = F.contains(text, F.lit(term))
+        if self.engine.fuzzy is None:
+            return found
+        like = lambda w: F.lit(1.0) - F.levenshtein(w, F.lit(term)) / F.greatest(F.length(w), F.lit(len(term)))
+        return found | F.exists(F.split(text, r"\W+"), lambda w: like(w) >= self.engine.fuzzy)
 
     def search(self, q: A.Select, scope: Scope, df: DataFrame) -> DataFrame:
         node = scope.main
@@ -725,6 +733,8 @@ class Lowering:
                 for c, s in seen.items():
                     out[c] = A.Item(A.Ref((A.Step(s[0]), A.Step(c)) if len(scope.sources) > 1 else (A.Step(c),)), c)
                 continue
+            if i.expand is not None and isinstance(i.expr, A.Ref) and self.is_structure(i.expr, scope):
+                i = A.Item(i.expr, i.alias, inline=i.expand, excluding=i.excluding)  # a structure is stored flat, and stays so
             if i.inline is not None:
                 for n, j in self.inlined(i, scope).items():
                     if n in out:
@@ -777,6 +787,16 @@ class Lowering:
                 return None
         return None
 
+    def is_structure(self, ref: A.Ref, scope: Scope) -> bool:
+        node, steps = self.start(ref, scope)
+        elements, e = node.entity.elements, None
+        for s in steps:
+            e = (elements or {}).get(s.id)
+            if e is None:
+                return False
+            elements = self.known(e.target).elements if e.is_assoc else e.elements
+        return e is not None and not e.is_assoc and e.elements is not None
+
     def inlined(self, i: A.Item, scope: Scope) -> dict[str, A.Item]:
         """``author.{name, x}``: the inner columns, named with the path in front."""
         base = i.alias or "_".join(i.expr.names)
@@ -869,7 +889,10 @@ class Lowering:
         if q.distinct:
             df = df.distinct()
         if order:
-            df = df.orderBy(*[self.sorted(s, scope, F.col(f"`{n}`") if n else F.col(f"__o{k}")) for k, (s, _, n) in enumerate(order)])
+            text = {c for c, t in df.dtypes if t == "string"} if self.engine.collation else set()
+            keys = [n or f"__o{k}" for k, (_, _, n) in enumerate(order)]
+            cols = [F.collate(F.col(f"`{k}`"), self.engine.collation) if k in text else F.col(f"`{k}`") for k in keys]
+            df = df.orderBy(*[self.sorted(s, scope, c) for (s, _, _), c in zip(order, cols)])
         limit = 1 if q.one else q.limit
         if q.offset:
             df = df.offset(q.offset)

@@ -154,6 +154,24 @@ def test_function_sources(engine, spark):
     assert got(engine, "SELECT from numbers(n: 3) { id + 1 as k } where id > 0") == [(2,), (3,)]
 
 
+def test_search_and_collation(engine, spark):
+    e = Engine(spark, engine.model)
+    e.tables = dict(engine.tables)
+    e.bind("Authors", spark.createDataFrame([(1, "Bronte Emily", "x"), (2, "austen", None), (3, "Zola", "Paris")], "ID int, name string, place string"))
+    assert got(e, "SELECT from Authors { ID } search 'EMILY'") == [(1,)]
+    assert got(e, "SELECT from Authors { ID } search 'bronte zola'") == [(1,)]
+    assert got(e, "SELECT from Authors { max(name) as m } group by place search 'zol'") == [("Zola",)]
+    e.search_all_terms = True
+    assert got(e, "SELECT from Authors { ID } search 'zola paris'") == [(3,)]
+    assert got(e, "SELECT from Authors { ID } search 'brontee'") == []
+    e.fuzzy = 0.7
+    assert got(e, "SELECT from Authors { ID } search 'brontee'") == [(1,)]
+    assert [r.ID for r in e.run("SELECT from Authors { ID } order by name").collect()] == [1, 3, 2]
+    e.collation = "UNICODE_CI"
+    assert [r.ID for r in e.run("SELECT from Authors { ID, name } order by name").collect()] == [2, 1, 3]
+    assert e.run("SELECT from Books { made { by } }").columns == ["made_by"]
+
+
 def test_main_reference(engine):
     assert got(engine, "SELECT from Authors as a { ID, (SELECT from Books as b { count(*) as n } where b.author_ID = a.ID) as n }") == [(1, 2), (2, 1), (3, 0)]
 
