@@ -205,8 +205,8 @@ PAIRS: dict[str, tuple[str, str]] = {
     "expand_to_many": ("SELECT from nation { n_name, customers[c_acctbal > 9000] { c_custkey } order by c_custkey as top }", "select n_name, row_number() over (partition by n_nationkey order by c_custkey) - 1 as pos, c_custkey from nation join customer on c_nationkey = n_nationkey and c_acctbal > 9000 union all select n_name, null, null from nation where not exists (select 1 from customer where c_nationkey = n_nationkey and c_acctbal > 9000)"),
     "expand_topk": ("SELECT from customer { c_custkey, orders { o_orderkey, o_totalprice } order by o_totalprice desc, o_orderkey limit 3 as best }", "select c_custkey, rn - 1 as pos, o_orderkey, o_totalprice from customer left join (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders) on o_custkey = c_custkey and rn <= 3"),
     "expand_nested": (
-        "SELECT from customer { c_custkey, orders { o_orderkey, items { l_linenumber, part.p_name as part } order by l_linenumber } order by o_orderkey } where c_custkey < 50",
-        "select c_custkey, o_orderkey, l_linenumber, p_name as part from customer left join orders on o_custkey = c_custkey left join lineitem on l_orderkey = o_orderkey left join part on p_partkey = l_partkey where c_custkey < 50",
+        "SELECT from customer { c_custkey, orders { o_orderkey, items { l_linenumber, part.p_name as part } order by l_linenumber } order by o_orderkey }",
+        "select c_custkey, o_orderkey, l_linenumber, p_name as part from customer left join orders on o_custkey = c_custkey left join lineitem on l_orderkey = o_orderkey left join part on p_partkey = l_partkey",
     ),
     "expand_count": ("SELECT from customer { c_custkey, $count(orders) as n, $count(orders[o_orderstatus = 'O']) as open_ }", "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n, (select count(*) from orders where o_custkey = c_custkey and o_orderstatus = 'O') as open_ from customer"),
     "calc_element": ("SELECT from lineitem { l_orderkey, l_linenumber, net, net * 2 as twice } where net > 90000", "select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) as net, l_extendedprice * (1 - l_discount) * 2 as twice from lineitem where l_extendedprice * (1 - l_discount) > 90000"),
@@ -253,11 +253,11 @@ def hier_ranks(spark, d):
 
 
 def hier_descendants(spark, d):
-    return T.descendants(T.hierarchy(parts_tree(spark, d), "id", "parent"), F.col("id") == 5, 1, None).select("id", "distance")
+    return T.descendants(T.hierarchy(parts_tree(spark, d), "id", "parent"), F.col("level") == 2, 1, None).select("id", "distance")
 
 
 def hier_ancestors(spark, d):
-    return T.ancestors(T.hierarchy(parts_tree(spark, d), "id", "parent"), F.col("id").isin(777, 1234)).select("id", "distance")
+    return T.ancestors(T.hierarchy(parts_tree(spark, d), "id", "parent"), F.col("tree_size") == 1).select("id", "distance")
 
 
 def hier_top_levels(spark, d):
@@ -312,8 +312,8 @@ ORACLE |= {
     "hier_levels": f"{_WALK} select u.id, max(dist) + 1 as level, max_by(anc, dist) as root, any_value(n.parent) as parent from up u join nodes n on n.id = u.id group by u.id",
     "hier_ranks": f"""with recursive nodes as {_TREE}, p as (select id, [id] as path from nodes where parent is null union all select n.id, list_append(p.path, n.id) from nodes n join p on n.parent = p.id),
     s as (select a, count(*) as tree_size from (select unnest(path) as a from p) group by a) select id, row_number() over (order by path) as rank, tree_size from p join s on a = id""",
-    "hier_descendants": f"{_WALK} select id, dist as distance from up where anc = 5 and dist >= 1",
-    "hier_ancestors": f"{_WALK} select anc as id, max(-dist) as distance from up where id in (777, 1234) group by anc",
+    "hier_descendants": f"{_WALK}, l as (select id, max(dist) + 1 as level from up group by id) select up.id, min(dist) as distance from up join l on l.id = anc where level = 2 and dist >= 1 group by up.id",
+    "hier_ancestors": f"{_WALK} select anc as id, max(-dist) as distance from up where id not in (select parent from nodes where parent is not null) group by anc",
     "hier_top_levels": f"""{_WALK}, l as (select id, max(dist) + 1 as level from up group by id), s as (select anc, count(*) as n from up group by anc),
     o as (select id, [id] as path from nodes where parent is null), p as (select id, [id] as path from nodes where parent is null union all select n.id, list_append(p.path, n.id) from nodes n join p on n.parent = p.id)
     select l.id, level, case when s.n = 1 then 'leaf' when level < 2 then 'expanded' else 'collapsed' end as drill_state, row_number() over (order by path) - 1 as limited_rank from l join s on s.anc = l.id join p on p.id = l.id where level <= 2""",
