@@ -19,6 +19,12 @@ def _texts(spark, d):
     return one.withColumn("label", langid.locale_code(F.col("locale"), codes))
 
 
+def _spread(df, key):
+    """Small partitions, however few bytes there are: what follows takes much CPU a row."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), key)
+
+
 def _books(spark, d):
     return _t(spark, d, "books").where("ID is not null").groupBy("ID").agg(F.max_by("descr", F.struct("arrived_at", "descr")).alias("source"))
 
@@ -29,13 +35,13 @@ def _dictionaries(spark, d):
 
 def p2_found(spark, d):
     texts = _texts(spark, d)
-    segs = langid.segments(texts, "text_ID", "descr", _dictionaries(spark, d))
+    segs = langid.segments(_spread(texts.select("text_ID", "descr"), "text_ID"), "text_ID", "descr", _dictionaries(spark, d))
     segs = written(segs.select("text_ID", "seg_no", "lang", "confidence"), "segments")
     return langid.mislabelled(texts, "text_ID", "label", segs).where("lang is not null").select("text_ID", "seg_no", "lang")
 
 
 def p2_segments(spark, d):
-    return langid.segments(_texts(spark, d), "text_ID", "descr", _dictionaries(spark, d)).drop("text")
+    return langid.segments(_spread(_texts(spark, d).select("text_ID", "descr"), "text_ID"), "text_ID", "descr", _dictionaries(spark, d)).drop("text")
 
 
 def p4_found(spark, d):
@@ -43,9 +49,7 @@ def p4_found(spark, d):
     pairs = written(joined, "pairs")
     dictionaries = _dictionaries(spark, d)
     lexicon = alignment.fit(pairs, dictionaries)
-    # decoding is CPU-bound: small partitions, however few bytes there are
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    found = alignment.align(pairs.repartition(n, "text_ID"), "text_ID", lexicon, dictionaries)
+    found = alignment.align(_spread(pairs, "text_ID"), "text_ID", lexicon, dictionaries)
     return found.select("text_ID", F.col("source_sent").alias("book_sent"), F.col("target_sent").alias("text_sent"))
 
 
