@@ -41,6 +41,28 @@ def test_the_bands_drop_no_case():
             assert abs(m[5] - brute(words)) < 1e-12, (n, m)
 
 
+def test_long_texts_whose_unique_half_comes_first():
+    """zstandard skips positions in long runs without matches: the ratio says nothing here."""
+    for n in (10_000, 20_000, 100_000):
+        rng = random.Random(n)
+        parts = [[f"p{k}x{i}" for i in range(6)] for k in range(-(-n // 48))]
+        words = [f"u{i}" for i in range(n - 24 * len(parts))]
+        for _ in range(4):
+            rng.shuffle(parts)
+            words += [w for p in parts for w in p]
+        m = R.measure(" ".join(words))
+        assert m[4] == "repetitive" and abs(m[5] - brute(words)) < 1e-12, (n, m)
+
+
+def test_the_share_is_exact_in_every_band():
+    rng = random.Random(4)
+    words = [str(rng.random())[2:] for _ in range(400)]
+    for at in (50, 150, 250, 350):
+        words[at:at] = ["one", "two", "three", "four", "five", "six"]
+    m = R.measure(" ".join(words))
+    assert m[4] != "repetitive" and abs(m[5] - 24 / 424) < 1e-12, m
+
+
 def test_case_separators_and_odd_texts():
     text = "Say it again, once more, please! " * 5
     assert R.measure(text)[4:] == ("repetitive", 1.0)
