@@ -63,7 +63,7 @@ def _descend(start: DataFrame, hops: DataFrame, stride: int, name: str) -> DataF
 
 
 def _cycles(links: DataFrame) -> DataFrame:
-    """(id, cycle): the nodes on cycles of a map in which every parent is itself a node; cycle is the least id."""
+    """(id, cycle, up): the nodes on cycles of a map in which every parent is itself a node; cycle is the least id, ``up`` the steps up to it."""
     jump = links.select("id", F.col("parent").alias("to"))  # the map taken 2^r times
     on = links.select("id")
     n = on.count()
@@ -77,25 +77,31 @@ def _cycles(links: DataFrame) -> DataFrame:
         n = m
         far = jump.select(F.col("id").alias("to"), F.col("to").alias("far"))
         jump = written(jump.join(far, "to").select("id", F.col("far").alias("to")), "jump")
-    # the least id over windows of 2^r steps, until no window finds a lesser one
-    least = written(links.join(on, "id", "left_semi").select("id", F.col("parent").alias("to"), F.least("id", "parent").alias("cycle")), "least")
+    # the least id over windows of 2^r steps, and where in them it first comes, until no window finds a lesser one
+    ring = links.join(on, "id", "left_semi")
+    first = F.when(F.col("parent") < F.col("id"), 1).otherwise(0)
+    least = written(ring.select("id", F.col("parent").alias("to"), F.least("id", "parent").alias("cycle"), first.alias("up")), "least")
+    width = 1
     while True:
-        far = least.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("cycle").alias("other"))
+        far = least.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("cycle").alias("other"), F.col("up").alias("beyond"))
+        less = F.col("other") < F.col("cycle")
+        up = F.when(less, F.lit(width).cast("bigint") + F.col("beyond")).otherwise(F.col("up"))
         wider = written(
-            least.join(far, "to").select("id", F.col("far").alias("to"), F.least("cycle", "other").alias("cycle"), (F.col("other") < F.col("cycle")).alias("less")),
+            least.join(far, "to").select("id", F.col("far").alias("to"), F.least("cycle", "other").alias("cycle"), up.alias("up"), less.alias("less")),
             "least",
         )
-        least = wider.drop("less")
+        least, width = wider.drop("less"), 2 * width
         if wider.where("less").isEmpty():
-            return least.select("id", "cycle")
+            return least.select("id", "cycle", F.col("up").cast("int").alias("up"))
 
 
 def resolve(rows: DataFrame, id_col: str, parent_col: str, stride: int = 16) -> DataFrame:
-    """(id, depth, root, cycle, path): one row for each id.
+    """(id, depth, root, cycle, up, path): one row for each id.
 
     path holds the ids from the root down to the node. A node whose parent is null or no node is a root (depth 0).
     On a cycle, ``cycle`` is the least id of the cycle, path is empty, root null and depth 0; below it path holds the ids
-    from the first one off the cycle, depth counts from the cycle. Copies of a row count once; a null id is no node; where
+    from the first one off the cycle, depth counts from the cycle. ``up`` counts the steps along the cycle up to its least id, from the
+    node itself or from the node of the cycle that it hangs on; elsewhere it is null. Copies of a row count once; a null id is no node; where
     copies of an id name several parents, the smallest that exists is taken. An empty table gives no rows. Other columns are ignored.
     """
     if stride < 1 or stride & (stride - 1):
@@ -106,7 +112,7 @@ def resolve(rows: DataFrame, id_col: str, parent_col: str, stride: int = 16) ->
     hops = written(_hops(links, stride), "hops")
     roots = links.where("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path"))
     reached = _descend(roots, hops, stride, "tree")
-    out = reached.select("id", "depth", "root", none.alias("cycle"), "path")
+    out = reached.select("id", "depth", "root", none.alias("cycle"), F.lit(None).cast("int").alias("up"), "path")
     left = written(links.join(reached.select("id"), "id", "left_anti"), "unreached")
     if left.isEmpty():
         return out
@@ -114,9 +120,9 @@ def resolve(rows: DataFrame, id_col: str, parent_col: str, stride: int = 16) ->
     # a node's parent on the cycle doesn't pull other cycle nodes below it
     below = _hops(left.join(cycles.select("id"), "id", "left_anti"), stride)
     empty = F.array().cast("array<string>").cast(reached.schema["path"].dataType)
-    start = cycles.select("id", F.col("cycle").alias("root"), F.lit(0).alias("depth"), empty.alias("path"))
+    start = cycles.select("id", F.struct("cycle", "up").alias("root"), F.lit(0).alias("depth"), empty.alias("path"))
     rings = _descend(start, written(below, "below"), stride, "ring")
-    return out.unionByName(rings.select("id", "depth", none.alias("root"), F.col("root").alias("cycle"), "path"))
+    return out.unionByName(rings.select("id", "depth", none.alias("root"), "root.cycle", "root.up", "path"))
 
 
 def path_text(resolved: DataFrame) -> DataFrame:
@@ -127,15 +133,27 @@ def path_text(resolved: DataFrame) -> DataFrame:
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
-    """(ancestor, id, distance): every pair of a node and a proper ancestor on its path."""
-    return (
+    """(ancestor, id, distance): every pair of a node and a proper ancestor of it.
+
+    Every node of a cycle is an ancestor of the others and of all nodes below the cycle; its distance is that of the first time
+    it is met on the way up. No node is its own ancestor.
+    """
+    on_path = (
         resolved.select("id", F.size("path").alias("n"), F.posexplode("path").alias("at", "ancestor"))
         .where(F.col("at") < F.col("n") - 1)
         .select("ancestor", "id", (F.col("n") - 1 - F.col("at")).alias("distance"))
     )
+    tied = resolved.where("cycle is not null").select("id", "cycle", "up", F.size("path").alias("n"))
+    ring = tied.where("n = 0").select("cycle", F.col("id").alias("ancestor"), F.col("up").alias("left"))
+    length = ring.groupBy("cycle").agg(F.count(F.lit(1)).cast("int").alias("length"))
+    around = tied.join(ring.join(length, "cycle"), "cycle").where("ancestor != id")
+    return on_path.unionByName(around.select("ancestor", "id", (F.col("n") + F.pmod(F.col("up") - F.col("left"), F.col("length"))).alias("distance")))
 
 
 def descendant_counts(resolved: DataFrame) -> DataFrame:
-    """(id, descendants): how many nodes lie below each node that isn't on a cycle; 0 for leaves."""
+    """(id, descendants): how many other nodes lie below each node, for one on a cycle also the rest of the cycle; 0 for leaves."""
     n = resolved.select(F.explode("path").alias("id")).groupBy("id").agg((F.count(F.lit(1)) - 1).alias("descendants"))
-    return resolved.select("id").join(n, "id", "left").select("id", F.coalesce("descendants", F.lit(0)).alias("descendants"))
+    tied = resolved.where("cycle is not null")
+    around = tied.groupBy("cycle").agg((F.count(F.lit(1)) - 1).alias("descendants"))
+    ring = tied.where(F.size("path") == 0).select("id", "cycle").join(around, "cycle").select("id", "descendants")
+    return resolved.select("id").join(n.unionByName(ring), "id", "left").select("id", F.coalesce("descendants", F.lit(0)).alias("descendants"))

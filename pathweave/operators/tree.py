@@ -27,7 +27,7 @@ def hierarchy(rows: DataFrame, node: str, parent: str, sibling: str | None = Non
 
     Rows on or below cycles aren't part of the hierarchy. Copies count once.
     """
-    r = resolve(rows.select(F.col(node).alias("n"), F.col(parent).alias("p")), "n", "p").where("cycle is null").drop("cycle")
+    r = resolve(rows.select(F.col(node).alias("n"), F.col(parent).alias("p")), "n", "p").where("cycle is null").drop("cycle", "up")
     sizes = r.select(F.explode("path").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("tree_size"))
     if sibling is None:
         keyed = r.withColumn("__order", F.col("path"))

@@ -71,6 +71,32 @@ def test_descendants(spark):
     assert sorted(map(tuple, H.descendant_counts(r).collect())) == [(1, 3), (2, 1), (3, 0), (4, 0)]
 
 
+def walked(pairs):
+    """(ancestor, id) -> distance, by walking up until a node comes again."""
+    ids = {i for i, _ in pairs}
+    parent = {i: p for i, p in pairs if p in ids}
+    out = {}
+    for i in ids:
+        at, n = parent.get(i), 1
+        while at is not None and at != i and (at, i) not in out:
+            out[at, i] = n
+            at, n = parent.get(at), n + 1
+    return out
+
+
+def test_descendants_of_cycles_with_tails(spark):
+    rng = random.Random(5)
+    graphs = [[(1, 2), (2, 3), (3, 1), (4, 3), (5, 4), (6, 6), (7, 6), (8, 99), (9, 8)], [(i, (i + 1) % 21) for i in range(21)] + [(30, 7), (31, 30)]]
+    graphs.append([(i, rng.randrange(90)) for i in range(90)])
+    for pairs in graphs:
+        r = H.resolve(spark.createDataFrame(pairs, "ID int, parent_ID int"), "ID", "parent_ID", stride=2)
+        want = walked(pairs)
+        got = H.descendants(r).collect()
+        assert len(got) == len(want) and {(x.ancestor, x.id): x.distance for x in got} == want
+        counts = {i: sum(a == i for a, _ in want) for i, _ in pairs}
+        assert {x.id: x.descendants for x in H.descendant_counts(r).collect()} == counts
+
+
 def test_display_tree(spark):
     from pyspark.sql import functions as F
 
