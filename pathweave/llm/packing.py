@@ -4,7 +4,8 @@ Method: mixture-controlled packing. Each shard of the corpus holds a queue per s
 containers after another to the target token proportions; what a source got too little of in one window it gets in the next,
 and what it got too little of in the shards before comes in as a deficit from a prefix sum over shards, so proportions hold across
 partitions as well. Within a window, best fit places the largest items first; containers that stay too empty are
-opened again with the next window. Texts longer than a container fill whole ones, and their rest is an item.
+opened again with the next window. Texts longer than a container fill whole ones, and their rest is an item; the whole ones wait in
+the queue of their source and are charged to it like other items.
 """
 
 from __future__ import annotations
@@ -66,19 +67,15 @@ def pack_shard(items: list[tuple], shares: dict, carried: dict, capacity: int, w
     queues: dict = defaultdict(deque)
     for ident, source, tokens in items:
         whole, rest = divmod(tokens, capacity) if tokens > capacity else (0, tokens)
-        for part in range(whole):
-            yield number, [(ident, part, part * capacity, capacity)]
-            number += 1
+        if whole:
+            queues[source].extend((ident, part, part * capacity, capacity) for part in range(whole))
         if rest:
             queues[source].append((ident, whole, whole * capacity, rest))
         elif not whole:
             empty.append((ident, 0, 0, 0))
-    if empty:
+    if empty and not queues:
         # texts without tokens take no space
-        if number or not queues:
-            yield 0, empty
-            number = max(number, 1)
-            empty = []
+        yield 0, empty
     budget = capacity * window
     deficit = {s: carried.get(s, 0.0) for s in queues}
     back: list[tuple] = []
@@ -118,7 +115,7 @@ def pack_shard(items: list[tuple], shares: dict, carried: dict, capacity: int, w
 def pack(sizes: DataFrame, kind: str, capacity: int, shares: dict | None = None, shard_tokens: int = 8_000_000, window: int = 64, tolerance: float = 0.01) -> DataFrame:
     """(kind, container, id, part, start, tokens): every row of ``sizes`` (id, source, tokens) lies in containers of ``capacity``.
 
-    A text that fits is never split; a longer one fills ``tokens // capacity`` containers of its own, its rest is packed like others. Texts
+    A text that fits is never split; a longer one fills ``tokens // capacity`` containers of its own, its rest is packed like others. All parts count for the mixture of the windows. Texts
     without tokens are placed and take no space. Repeated rows are packed as often as they come; a null id stays null. shares: target token
     proportions by source, by default those of the corpus; sources without a share come when the others have run out. An empty
     table gives no containers. Shards hold about ``shard_tokens`` tokens, or SHARD_ROWS rows if these are short;

@@ -59,6 +59,15 @@ def test_windows_hold_the_mixture():
         assert abs(sum(i >= 800 for i in window) - 10) <= 2
 
 
+def test_windows_hold_the_mixture_with_long_texts():
+    items = [(i, "a", 35) for i in range(200)] + [(1000 + i, "b", 10) for i in range(300)]
+    boxes = [b for _, b in P.pack_shard(items, {"a": 0.7, "b": 0.3}, {}, 10, 20, 0.01)]
+    assert sum(n for b in boxes for *_, n in b) == 10_000
+    for lo in range(0, len(boxes) - 20, 20):
+        window = [(i, n) for b in boxes[lo : lo + 20] for i, _, _, n in b]
+        assert abs(sum(n for i, n in window if i >= 1000) / sum(n for _, n in window) - 0.3) <= 0.1, lo
+
+
 def test_deficits_carry_over():
     items = [(i, "a" if i < 500 else "b", 10) for i in range(1000)]
     first = next(b for _, b in P.pack_shard(items, {"a": 0.5, "b": 0.5}, {"b": 400.0, "a": -400.0}, 100, 1, 0.01))
