@@ -214,3 +214,10 @@ def test_syntax():
     for bad in ("SELECT from", "SELECT from a { b", "SELECT from a where", "SELECT from a limit", "SELECT from a ;"):
         with pytest.raises(ParseError):
             parse(bad)
+
+
+def test_group_and_having_in_a_nested_projection_raise():
+    for tail in ("group by l_quantity", "group by l_quantity having count(*) > 1", "having l_quantity > 1"):
+        with pytest.raises(ParseError, match="nested projection"):
+            parse(f"SELECT from orders {{ o_orderkey, items {{ l_quantity }} {tail} }}")
+    parse("SELECT from orders { o_orderkey, items { l_quantity } order by l_quantity limit 3 } group by o_orderkey")
