@@ -1,7 +1,7 @@
 """A store of entity tables as parquet folders with atomic commits.
 
 A table is a list of folders; a commit is a small file that names the folders of all tables. Writers add folders and then the next
-commit, by a rename that fails if another writer was first; readers see one commit. Inserts add a folder, updates and
+commit, a file that only the first of several writers can create; readers see one commit. Inserts add a folder, updates and
 deletes replace the table's folders. A transaction that is rolled back leaves folders that no commit names.
 """
 
@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..runtime import fs
+from ..runtime import create_once, fs, read_text
 
 
 class Conflict(RuntimeError):
@@ -34,13 +34,7 @@ class Store:
         if not numbers:
             return 0, {"tables": {}, "batches": {}}
         n = max(numbers)
-        _, f = fs(self.spark, f"{self.root}/commits/{n:012d}.json")
-        stream = system.open(f)
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return n, json.loads(text)
+        return n, json.loads(read_text(self.spark, f"{self.root}/commits/{n:012d}.json"))
 
     # transactions --------------------------------------------------------------------------------------------------
 
@@ -49,15 +43,8 @@ class Store:
         self.staged = json.loads(json.dumps(self.state))
 
     def commit(self) -> None:
-        system, folder = fs(self.spark, f"{self.root}/commits")
-        system.mkdirs(folder)
         n = self.number + 1
-        _, draft = fs(self.spark, f"{self.root}/drafts/{uuid.uuid4().hex}.json")
-        out = system.create(draft, True)
-        out.write(bytearray(json.dumps(self.staged).encode()))
-        out.close()
-        _, final = fs(self.spark, f"{self.root}/commits/{n:012d}.json")
-        if system.exists(final) or not system.rename(draft, final):
+        if not create_once(self.spark, f"{self.root}/commits/{n:012d}.json", json.dumps(self.staged)):
             self.staged = None
             raise Conflict(f"commit {n} exists")
         self.number, self.state, self.staged = n, self.staged, None

@@ -2,8 +2,9 @@ import datetime as dt
 
 import pytest
 
-from pathweave.functions.keys import uuid_key
-from pathweave.operators.incremental import Feed, IncrementalLoad, first_run
+from pathweave.functions.keys import UUID
+from pathweave.operators import incremental as I
+from pathweave.operators.incremental import Conflict, Feed, IncrementalLoad, first_run
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -22,7 +23,7 @@ def deliver(spark, folder, rows):
 def load(spark, tmp_path):
     src = f"{tmp_path}/in"
     deliver(spark, src, [("aa", "1", 1, 1), ("aa", "1", 1, 1), ("aa", "2", 2, 2), ("bb", "1", 1, 30)])
-    return src, lambda: IncrementalLoad(spark, f"file://{tmp_path}/state", [Feed("x", src, "k", uuid_key)])
+    return src, lambda: IncrementalLoad(spark, f"file://{tmp_path}/state", [Feed("x", src, "k", UUID)])
 
 
 def out(load):
@@ -52,13 +53,14 @@ def test_catching_up_equals_run_after_run(spark, tmp_path):
     cuts = [(1, t(5)), (2, t(12)), (4, t(9)), (5, t(25)), (7, t(39))]
     src = f"{tmp_path}/in"
     deliver(spark, src, rows)
-    whole = IncrementalLoad(spark, f"file://{tmp_path}/a", [Feed("x", src, "k", uuid_key)])
+    whole = IncrementalLoad(spark, f"file://{tmp_path}/a", [Feed("x", src, "k", UUID)])
     whole.run(cuts)
     assert out(whole) == brute(rows, cuts)
-    parts = IncrementalLoad(spark, f"file://{tmp_path}/b", [Feed("x", src, "k", uuid_key)])
-    for n in range(1, len(cuts) + 1):
-        parts.run(cuts[:n])
-    assert out(parts) == brute(rows, cuts)
+    for every in (1, 2, 9):
+        parts = IncrementalLoad(spark, f"file://{tmp_path}/b{every}", [Feed("x", src, "k", UUID)], compact_every=every)
+        for n in range(1, len(cuts) + 1):
+            parts.run(cuts[:n])
+        assert out(parts) == brute(rows, cuts)
 
 
 def test_new_files_only_and_rows_seen_later(spark, load):
@@ -102,14 +104,14 @@ def test_a_changed_file_is_read_again_without_repeats(spark, load, tmp_path):
 def test_nulls_empty_inputs_and_clashing_columns(spark, tmp_path):
     src = f"{tmp_path}/n"
     spark.createDataFrame([], "k string, LastChangedAt timestamp, createdAt timestamp, arrived_at timestamp").write.parquet(src)
-    a = IncrementalLoad(spark, f"file://{tmp_path}/e", [Feed("x", src, "k", uuid_key)])
+    a = IncrementalLoad(spark, f"file://{tmp_path}/e", [Feed("x", src, "k", UUID)])
     a.run([(1, t(1))])
     assert out(a) == []
-    assert IncrementalLoad(spark, f"file://{tmp_path}/none", [Feed("x", src, "k", uuid_key)]).run([]) is None
+    assert IncrementalLoad(spark, f"file://{tmp_path}/none", [Feed("x", src, "k", UUID)]).run([]) is None
     src = f"{tmp_path}/m"
     rows = [(None, 1, None, None, t(1)), ("aa", 1, None, None, None), ("bb", 1, None, None, t(1)), ("bb", None, None, None, t(2)), ("bb", 2, t(0), None, t(3))]
     spark.createDataFrame(rows, "k string, run_no int, LastChangedAt timestamp, createdAt timestamp, arrived_at timestamp").write.parquet(src)
-    b = IncrementalLoad(spark, f"file://{tmp_path}/f", [Feed("x", src, "k", uuid_key)])
+    b = IncrementalLoad(spark, f"file://{tmp_path}/f", [Feed("x", src, "k", UUID)])
     b.run([(1, t(1)), (2, t(2)), (3, t(5))])
     assert out(b) == [(1, "BB"), (2, "BB"), (3, "BB")]
 
@@ -120,3 +122,56 @@ def test_first_run_skips_cuts_that_go_back(spark):
     df = spark.createDataFrame([(t(n),) for n in (0, 5, 6, 9, 11)], "a timestamp")
     got = [r[0] for r in df.select(first_run(F.col("a"), [(1, t(5)), (2, t(10)), (3, t(8)), (4, None)])).collect()]
     assert got == [1, 1, 2, 2, None]
+
+
+def test_of_two_loaders_that_race_one_wins(spark, load):
+    _, make = load
+    with pytest.raises(Conflict):
+        make().run([(1, t(10))], before_commit=lambda: make().run([(1, t(10)), (2, t(40))]))
+    assert len(make().batches()) == 1
+    assert out(make()) == [(1, "AA"), (2, "BB")]
+
+
+def test_processed_files_are_not_read(spark, load, monkeypatch):
+    src, make = load
+    make().run([(1, t(10))])
+    deliver(spark, src, [("dd", "1", 1, 12)])
+    read = []
+    index = IncrementalLoad._index
+    monkeypatch.setattr(IncrementalLoad, "_index", lambda self, feed, paths, cuts: read.extend(paths) or index(self, feed, paths, cuts))
+    make().run([(1, t(10)), (2, t(20))])
+    make().run([(1, t(10)), (2, t(20)), (3, t(40))])
+    assert len(read) == 1
+    assert out(make()) == [(1, "AA"), (2, "DD"), (3, "BB")]
+
+
+def test_a_touched_file_of_any_size_is_not_processed_again(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(I, "RANGE", 1000)  # many ranges a file
+    src = f"{tmp_path}/in"
+    deliver(spark, src, [(f"k{i}", str(i * i), 1, 1) for i in range(500)])
+    make = lambda **kw: IncrementalLoad(spark, f"file://{tmp_path}/state", [Feed("x", src, "k", UUID)], **kw)
+    make().run([(1, t(10))])
+    part = next(f"{src}/{p}" for p in os.listdir(src) if p.endswith(".parquet"))
+    os.utime(part, (1, 1))
+    assert make().pending_files().count() == 0
+    with open(part, "r+b") as f:  # the same size and time, another byte
+        f.seek(5000)
+        b = f.read(1)
+        f.seek(5000)
+        f.write(bytes([b[0] ^ 1]))
+    os.utime(part, (1, 1))
+    assert make(verify_all=True).pending_files().count() == 1
+
+
+def test_buckets_of_the_base(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "BUCKET_ROWS", 10)
+    src = f"{tmp_path}/in"
+    deliver(spark, src, [(f"k{i}", "1", 1, 1) for i in range(100)])
+    load = IncrementalLoad(spark, f"file://{tmp_path}/s", [Feed("x", src, "k", UUID)], compact_every=1)
+    load.run([(1, t(5))])
+    assert load._latest()["base"]["buckets"] == 11
+    deliver(spark, src, [("k7", "1", 1, 6), ("k8", "2", 1, 6), ("new", "1", 0, 6)])
+    load.run([(1, t(5)), (2, t(10))])
+    assert [x for x in out(load) if x[0] == 2] == [(2, "K8"), (2, "NEW")]
