@@ -73,10 +73,14 @@ loose as (select * from links where id not in (select id from tree)),
 above as (select id, parent as a from loose union select x.id, l.parent from above x join loose l on l.id = x.a),
 rings as (select id from above where id = a),
 least as (select x.id, min(x.a) as cycle from above x join rings r on r.id = x.id join rings s on s.id = x.a group by x.id),
-below as (select id, cycle, 0 as depth, '@' || cast(cycle as varchar) as path, cast([] as integer[]) as ids from least
-          union all select l.id, b.cycle, b.depth + 1, b.path || '/' || cast(l.id as varchar), list_append(b.ids, l.id)
+below as (select id, cycle, id as door, 0 as depth, '@' || cast(cycle as varchar) as path, cast([] as integer[]) as ids from least
+          union all select l.id, b.cycle, b.door, b.depth + 1, b.path || '/' || cast(l.id as varchar), list_append(b.ids, l.id)
           from loose l join below b on l.parent = b.id where l.id not in (select id from rings)),
-whole as (select id, depth, root, cast(null as integer) as cycle, path, ids from tree union all select id, depth, null, cycle, path, ids from below)
+whole as (select id, depth, root, cast(null as integer) as cycle, cast(null as integer) as door, path, ids from tree union all select id, depth, null, cycle, door, path, ids from below),
+-- steps up along the cycles: from every node of one to the others
+steps as (select id, id as at_id, 0 as n from least union all select s.id, l.parent, s.n + 1 from steps s join links l on l.id = s.at_id where l.parent <> s.id),
+pairs as (select unnest(ids) as ancestor, len(ids) - generate_subscripts(ids, 1) as distance, id from whole
+          union all select s.at_id, w.depth + s.n, w.id from whole w join steps s on s.id = w.door where s.at_id <> w.id)
 """
 
 _VALS = {
@@ -120,10 +124,9 @@ select * from hits where reason is not null"""
 
 ORACLE = {
     "p1_found": f"with recursive {_LINKS} select id as ID, path from whole",
-    "p1_tree": f"""with recursive {_LINKS}, n as (select id, count(*) - 1 as descendants from (select unnest(ids) as id from whole) group by id)
+    "p1_tree": f"""with recursive {_LINKS}, n as (select ancestor as id, count(*) as descendants from pairs where distance > 0 group by ancestor)
     select w.id as ID, w.depth, w.root, w.cycle, coalesce(n.descendants, 0) as descendants from whole w left join n on n.id = w.id""",
-    "p1_descendants": f"""with recursive {_LINKS}, pairs as (select unnest(ids) as ancestor, generate_subscripts(ids, 1) as pos, len(ids) as n, id from whole)
-    select ancestor, id, cast(n - pos as integer) as distance from pairs where pos < n""",
+    "p1_descendants": f"with recursive {_LINKS} select ancestor, id, cast(distance as integer) as distance from pairs where distance > 0",
     "p3_found": _P3,
     "p5_found": _P5,
     "p5_per_period": f"select tab, ref_field, ym, reason, count(*) as n from ({_P5}) group by all",

@@ -48,6 +48,12 @@ def test_deep_chain_and_wide_root(spark):
     assert got[69].count("/") == 69
 
 
+def test_hot_parents_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(H, "HOT", 20)
+    pairs = [(0, None), (1, 0)] + [(i, 1) for i in range(2, 90)] + [(i, i - 90) for i in range(100, 130)] + [(200, 201), (201, 200)] + [(i, 200) for i in range(210, 250)]
+    assert paths(spark, pairs, stride=2) == brute(pairs)
+
+
 def test_cycles_with_tails(spark):
     pairs = [(1, 2), (2, 3), (3, 1), (4, 3), (5, 4), (6, 6), (7, 6), (8, 99)]
     assert paths(spark, pairs) == {1: "@1", 2: "@1", 3: "@1", 4: "@1/4", 5: "@1/4/5", 6: "@6", 7: "@6/7", 8: "8"}
