@@ -55,12 +55,16 @@ class Engine:
     """Runs queries against DataFrames. Everything returns a lazy DataFrame unless said otherwise.
 
     search_all_terms: a search has to find all of its terms, not only the first. fuzzy: least similarity (0 to 1) of a word to a term that
-    counts as found. collation: the order of texts in ``order by``, such as UNICODE_CI or de.
+    counts as found. collation: the order of texts in ``order by``, such as UNICODE_CI or de. count_as_text: counts come as text.
     """
 
-    def __init__(self, spark: SparkSession, model: Model, session: Session | None = None, search_all_terms: bool = False, fuzzy: float | None = None, collation: str | None = None):
+    def __init__(self, spark: SparkSession, model: Model, session: Session | None = None, search_all_terms: bool = False, fuzzy: float | None = None, collation: str | None = None, count_as_text: bool = False, functions: dict[str, Callable] | None = None):
         self.spark, self.model, self.session = spark, model, session or Session()
-        self.search_all_terms, self.fuzzy, self.collation = search_all_terms, fuzzy, collation
+        self.search_all_terms, self.fuzzy, self.collation, self.count_as_text = search_all_terms, fuzzy, collation, count_as_text
+        #: Functions of this engine alone, by lower-case name: (*columns) -> Column. They come before those of the library.
+        self.own_functions: dict[str, Callable] = {k.lower(): f for k, f in (functions or {}).items()}
+        #: Rounds after which a query that refers to itself is given up.
+        self.most_rounds = 1000
         self.tables: dict[str, DataFrame] = {}
         self.procedures: dict[str, Callable] = {}
         #: Sources by name, ``from name(argument: value)``: (engine, **arguments) -> DataFrame

@@ -106,8 +106,7 @@ def _count(*a: Column, distinct: bool = False) -> Column:
 def _string_agg(x: Column, sep: Column | None = None, distinct: bool = False) -> Column:
     """Joined in the order of the values, so that the result doesn't depend on the shuffle."""
     items = F.collect_set(x) if distinct else F.collect_list(x)
-    s = F.array_join(F.array_sort(items), "\u0001")
-    return F.when(F.count(x) > 0, F.replace(s, F.lit("\u0001"), sep if sep is not None else F.lit("")))
+    return F.when(F.count(x) > 0, F.call_function("array_join", F.array_sort(items), sep if sep is not None else F.lit("")))
 
 
 #: Functions that want literals as they are rather than as columns.
@@ -175,6 +174,41 @@ FUNCTIONS["indexof"] = lambda a, b: F.position(b, a) - 1
 FUNCTIONS["listagg"] = _string_agg
 
 
+#: Names of parameters in their order, for arguments that are given by name.
+PARAMETERS = {
+    "substring": ("string", "start", "length"),
+    "round": ("value", "digits", "mode"),
+    "contains": ("string", "part"),
+    "startswith": ("string", "part"),
+    "endswith": ("string", "part"),
+    "indexof": ("string", "part"),
+    "matchespattern": ("string", "pattern"),
+    "error": ("message", "args", "targets"),
+    "lag": ("value", "offset", "default"),
+    "lead": ("value", "offset", "default"),
+    "nth_value": ("value", "n"),
+    "ntile": ("n",),
+    "string_agg": ("value", "separator"),
+    **{f"{unit}_between": ("start", "end") for unit in ("nano100", "seconds", "days", "months", "years")},
+}
+
+
+def placed(name: str, given: int, named: tuple) -> list:
+    """Arguments given by name, in the order of the function's parameters after the ``given`` first ones; as written where these aren't known."""
+    order = PARAMETERS.get(name.lower())
+    if not named or order is None:
+        return [v for _, v in named]
+    by = {k.lower(): v for k, v in named}
+    unknown = set(by) - set(order[given:])
+    if unknown:
+        raise ValueError(f"{name} has no parameter {sorted(unknown)} left; it has {order}")
+    last = max(order.index(k) for k in by)
+    missing = [k for k in order[given : last + 1] if k not in by]
+    if missing:
+        raise ValueError(f"{name} needs {missing}")
+    return [by[k] for k in order[given : last + 1]]
+
+
 def call(name: str, args: list, distinct: bool = False) -> Column:
     """The Column of a function; names are case-insensitive, and Spark's own functions serve where the library has none."""
     key = name.lower()

@@ -35,6 +35,8 @@ class Element:
     default: Any = None
     on_insert: str | None = None
     on_update: str | None = None
+    hidden: bool = False  # made by a query and not part of "*"
+    ranking: str | None = None  # HIGH, MEDIUM or LOW: its weight in a search by score
 
     @property
     def is_assoc(self) -> bool:
@@ -50,6 +52,7 @@ class Entity:
     params: dict[str, str] = field(default_factory=dict)
     texts: str | None = None
     valid: tuple[str, str] | None = None
+    persisted: bool = True  # False: its rows are elsewhere; columns that need them are left out
 
     def keys(self) -> list[str]:
         """Physical names of the key columns; an association in the key stands for its foreign keys."""
@@ -78,7 +81,7 @@ class Entity:
         """Columns of ``*``: no virtual elements, no unmanaged associations, no large binaries."""
         out: dict[str, Element] = {}
         for e in self.elements.values():
-            if e.virtual or e.type == "LargeBinary" or (e.is_assoc and not e.keys):
+            if e.virtual or e.hidden or e.type == "LargeBinary" or (e.is_assoc and not e.keys):
                 continue
             out.update(self.leaves(e, e.name))
         return out

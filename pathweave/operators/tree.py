@@ -2,63 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import written
 from .hierarchy_links import resolve
 
 
-def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Adds 1, 2, ... in a total order without bringing all rows to one task: a range sort, then offsets by partition."""
     cols = df.columns
-    placed = written(df.withColumn("__k", order).sort("__k").withColumn("__m", F.monotonically_increasing_id()), "sorted")
+    placed = written(df.sort(*order).withColumn("__m", F.monotonically_increasing_id()), "sorted")
     placed = placed.withColumn("__p", F.shiftright("__m", 33))
     # one row per partition
     firsts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__m0"))
-    from pyspark.sql import Window
-
     offsets = firsts.withColumn("__off", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__m0", "__off")
     return placed.join(F.broadcast(offsets), "__p").select(*cols, (F.col("__m") - F.col("__m0") + F.col("__off") + 1).alias(name))
 
 
-def hierarchy(rows: DataFrame, node: str, parent: str, sibling: str | None = None) -> DataFrame:
+def levels(rows: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, parent, level, root, path): what needs no ranks; roots have level 1. Rows on or below cycles aren't part of the hierarchy. Copies count once."""
+    r = resolve(rows.select(F.col(node).alias("n"), F.col(parent).alias("p")), "n", "p").where("cycle is null")
+    return r.select(F.col("id").alias(node), F.try_element_at("path", F.lit(-2)).alias(parent), (F.col("depth") + 1).alias("level"), "root", "path")
+
+
+def hierarchy(rows: DataFrame, node: str, parent: str, sibling: str | Sequence[Column] | None = None) -> DataFrame:
     """(node, parent, level, root, rank, parent_rank, root_rank, tree_size): roots have level 1, ranks follow pre-order, siblings by ``sibling``, then node.
 
-    Rows on or below cycles aren't part of the hierarchy. Copies count once.
+    sibling is a column's name, or the columns of a sort, ascending or descending. Rows on or below cycles aren't part of the hierarchy. Copies count once.
     """
-    r = resolve(rows.select(F.col(node).alias("n"), F.col(parent).alias("p")), "n", "p").where("cycle is null").drop("cycle", "up")
-    sizes = r.select(F.explode("path").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("tree_size"))
+    r = levels(rows, node, parent).withColumnRenamed(node, "__id")
+    # sizes by partial sums over the lines; a root's count is spread by its rows
+    sizes = r.select(F.explode("path").alias("__id")).groupBy("__id").agg(F.count(F.lit(1)).alias("tree_size"))
     if sibling is None:
         keyed = r.withColumn("__order", F.col("path"))
     else:
-        by = rows.select(F.col(node).alias("id"), F.col(sibling).alias("s")).groupBy("id").agg(F.min("s").alias("s"))
-        steps = r.select("id", F.posexplode("path").alias("at", "step")).join(by.withColumnRenamed("id", "step"), "step", "left")
-        lines = steps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "s", "step"))).alias("__order"))
-        keyed = r.join(lines.select("id", F.transform("__order", lambda x: F.struct(x["s"], x["step"])).alias("__order")), "id")
-    ranked = numbered(keyed.join(sizes, "id"), F.col("__order"), "rank").drop("__order")
-    up = F.when(F.size("path") > 1, F.element_at("path", -2))
-    out = ranked.withColumn("parent", up)
-    ranks = out.select(F.col("id").alias("k"), F.col("rank").alias("v"))
-    out = out.join(ranks.select(F.col("k").alias("parent"), F.col("v").alias("parent_rank")), "parent", "left")
+        if isinstance(sibling, str):
+            by = rows.select(F.col(node).alias("step"), F.col(sibling).alias("s")).groupBy("step").agg(F.min("s").alias("s"))
+        else:
+            # the place in the whole sort serves as the place among siblings
+            first = rows.dropDuplicates([node])
+            by = numbered(first.select(F.col(node).alias("step"), *first.columns), [*sibling, F.col("step")], "s").select("step", "s")
+        steps = r.select("__id", F.posexplode("path").alias("at", "step")).join(by, "step", "left")
+        lines = steps.groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("at", "s", "step"))).alias("__order"))
+        keyed = r.join(lines.select("__id", F.transform("__order", lambda x: F.struct(x["s"], x["step"])).alias("__order")), "__id")
+    ranked = numbered(keyed.join(sizes, "__id"), [F.col("__order")], "rank").drop("__order")
+    ranks = ranked.select(F.col("__id").alias("k"), F.col("rank").alias("v"))
+    out = ranked.join(ranks.select(F.col("k").alias(parent), F.col("v").alias("parent_rank")), parent, "left")
     out = out.join(ranks.select(F.col("k").alias("root"), F.col("v").alias("root_rank")), "root", "left")
-    return out.select(F.col("id").alias(node), F.col("parent").alias(parent), (F.col("depth") + 1).alias("level"), "root", "rank", "parent_rank", "root_rank", "tree_size", "path")
+    return out.select(F.col("__id").alias(node), parent, "level", "root", "rank", "parent_rank", "root_rank", "tree_size", "path")
 
 
 def descendants(h: DataFrame, start: Column, low: int = 0, high: int | None = None) -> DataFrame:
-    """Rows of ``h`` within low..high levels below the rows that ``start`` picks, with the smallest distance; high None: all the way."""
+    """Rows of ``h`` within low..high levels below the rows that ``start`` picks, with the greatest distance; high None: all the way.
+
+    Rows below several starts come once.
+    """
     node = h.columns[0]
     tops = h.where(start).select(F.col(node).alias("__top"))
     at = h.select(node, F.size("path").alias("__n"), F.posexplode("path").alias("__at", "__top"))
-    d = at.join(tops, "__top").groupBy(node).agg(F.min(F.col("__n") - 1 - F.col("__at")).alias("distance"))
+    d = at.join(tops, "__top").select(node, (F.col("__n") - 1 - F.col("__at")).alias("distance"))
     d = d.where(F.col("distance") >= low)
-    return h.join(d if high is None else d.where(F.col("distance") <= high), node)
+    d = d if high is None else d.where(F.col("distance") <= high)
+    return h.join(d.groupBy(node).agg(F.max("distance").alias("distance")), node)
 
 
 def ancestors(h: DataFrame, start: Column, keep_start: bool = True) -> DataFrame:
-    """Rows of ``h`` above the rows that ``start`` picks: distance 0, -1, ...; of several the nearest to the start."""
+    """Rows of ``h`` above the rows that ``start`` picks: distance 0, -1, ...; of several the farthest from the start."""
     node = h.columns[0]
-    d = h.where(start).select(F.size("path").alias("__n"), F.posexplode("path").alias("__at", node)).groupBy(node).agg(F.max(F.col("__at") - F.col("__n") + 1).alias("distance"))
+    d = h.where(start).select(F.size("path").alias("__n"), F.posexplode("path").alias("__at", node)).groupBy(node).agg(F.min(F.col("__at") - F.col("__n") + 1).alias("distance"))
     return h.join(d if keep_start else d.where("distance < 0"), node)
 
 
@@ -83,5 +97,5 @@ def top_levels(h: DataFrame, levels: int | None, expanded: Column | None = None,
         hidden = marked.where("__shut").select(F.col(node).alias("__top"))
         below = marked.select(node, F.explode("path").alias("__top")).join(hidden, "__top", "left_semi").where(F.col("__top") != F.col(node))
         seen = seen.join(below.select(node), node, "left_anti").select(*marked.columns)
-    out = numbered(seen.withColumn("drill_state", state), F.col("rank"), "__r")
+    out = numbered(seen.withColumn("drill_state", state), [F.col("rank")], "__r")
     return out.withColumn("limited_rank", F.col("__r") - 1).withColumn("limited_descendant_count", F.col("tree_size") - 1).withColumn("distance_from_root", F.col("level") - 1).drop("__r", "__open", "__shut")

@@ -10,11 +10,12 @@ import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..engine import Engine
-from ..model import Entity, ModelError
+from ..model import Element, Entity, ModelError
 from ..plans import ast as A
 from ..plans.lower import Lowering, Scope
 from ..plans.parser import parse, parse_expr
@@ -22,6 +23,18 @@ from ..sources.files import schema_of
 from ..sources.store import Store
 
 
+class Inserted(int):
+    """How many rows an insert added; ``keys`` are their keys, generated ones included, as a DataFrame."""
+
+    keys: DataFrame
+
+    @staticmethod
+    def of(n: int, keys: DataFrame) -> Inserted:
+        out = Inserted(n)
+        out.keys = keys
+        return out
+
+
 class Writer:
     """Writes to the entities of an engine, kept in a store. Reads through the engine see what was committed, or staged by this writer."""
 
@@ -75,6 +88,43 @@ class Writer:
         self.store.create(name, schema_of(self._entity(name)), if_not_exists)
         self._refresh(name)
 
+    def begin(self) -> None:
+        self.store.begin()
+
+    def commit(self) -> None:
+        """Makes the changes since ``begin`` visible to all, or raises Conflict if another writer was first."""
+        try:
+            self.store.commit()
+        finally:
+            self._refresh_all()
+
+    def rollback(self) -> None:
+        self.store.rollback()
+        self._refresh_all()
+
+    def _refresh_all(self) -> None:
+        for n in list(self.engine.tables):
+            if n in self.store.tables():
+                self._refresh(n)
+
+    def create_view(self, name: str, query: str, or_replace: bool = False) -> None:
+        """A name for a query; its elements are the columns of the result, and the key those of the source that it keeps."""
+        if name in self.engine.model.entities and not or_replace:
+            raise ModelError(f'"{name}" exists')
+        df = self.engine.run(query)
+        source = parse(query).source
+        keys = set(self.engine.model.entity(source.ref.names[0]).keys()) if isinstance(source, A.Table) and source.ref is not None and not source.path else set()
+        kinds = {"string": "String", "int": "Integer", "bigint": "Integer64", "double": "Double", "boolean": "Boolean", "date": "Date", "timestamp": "Timestamp"}
+        self.engine.model.entities[name] = Entity(name, {c: Element(c, kinds.get(t, t), key=c in keys) for c, t in df.dtypes}, query=query)
+
+    def drop_view(self, name: str, if_exists: bool = False) -> None:
+        e = self.engine.model.entities.get(name)
+        if e is None and if_exists:
+            return
+        if e is None or e.query is None:
+            raise ModelError(f'"{name}" is no view')
+        del self.engine.model.entities[name]
+
     def drop(self, name: str, if_exists: bool = False) -> None:
         self.store.drop(name, if_exists)
         self._refresh(name)
@@ -87,10 +137,10 @@ class Writer:
             return F.lit(self.engine.session.get(tuple(text.split("."))))
         return F.lit(text)
 
-    def _frame(self, entity: Entity, data) -> DataFrame:
-        """Rows with the entity's types; only the columns that were given. Iterables are consumed once, on the driver."""
+    def _frame(self, entity: Entity, data, at: str | None = None) -> DataFrame:
+        """Rows with the entity's types; only the columns that were given, and ``at``, a place in the data. Iterables are consumed once, on the driver."""
         schema = schema_of(entity)
-        types = {f.name: f.dataType for f in schema}
+        types = {f.name: f.dataType for f in schema} | ({at: LongType()} if at else {})
         if isinstance(data, DataFrame):
             names, df = data.columns, data
         else:
@@ -99,7 +149,7 @@ class Writer:
             df = None
         unknown = [n for n in names if n not in types]
         if unknown and self.strict:
-            raise ModelError(f"STRICT MODE: Trying to write non existent columns ({', '.join(unknown)})")
+            raise ModelError(f"\"{entity.name}\" has no columns {unknown} to write")
         names = [n for n in names if n in types]
         if df is None:
             plain = {n: types[n].simpleString() for n in names}
@@ -125,21 +175,16 @@ class Writer:
             out.append(c.cast(f.dataType).alias(f.name))
         return df.select(*out)
 
-    def insert(self, name: str, data: DataFrame | Iterable[Mapping] | str) -> int:
-        """Adds rows; data is a DataFrame, rows as mappings, or a query of the language. The number of rows."""
+    def insert(self, name: str, data: DataFrame | Iterable[Mapping] | str) -> Inserted:
+        """Adds rows; data is a DataFrame, rows as mappings, or a query of the language. The number of rows, and their keys."""
         name, data = self._through(name, data)
         entity = self._entity(name)
         df = self._filled(entity, self._frame(entity, self.engine.run(data) if isinstance(data, str) else data))
-        if not isinstance(data, (DataFrame, str)):
-            n = df.count()
-        else:
-            df = df.persist()  # generated keys must not change between the count and the write
-            n = df.count()
-        self.store.append(name, df)
-        if df.is_cached:
-            df.unpersist()
+        seen = Observation()
+        path = self.store.append(name, df.observe(seen, F.count(F.lit(1)).alias("n")))  # counted as they are written
         self._refresh(name)
-        return n
+        keys = self.engine.spark.read.schema(schema_of(entity)).parquet(path).select(*[f"`{k}`" for k in entity.keys()])
+        return Inserted.of(seen.get["n"], keys)
 
     def insert_rows(self, name: str, columns: Sequence[str], rows: Iterable[Sequence]) -> int:
         return self.insert(name, [dict(zip(columns, r)) for r in rows])
@@ -147,17 +192,20 @@ class Writer:
     def upsert(self, name: str, data: DataFrame | Iterable[Mapping]) -> None:
         """Rows with new keys are added, with defaults; for known keys, columns that weren't given keep their value.
 
-        Of several rows with one key the last in a total order of their values counts.
+        Of several rows with one key the last counts, in the order of ``data``.
         """
         name, data = self._through(name, data)
         entity = self._entity(name)
         keys = entity.keys()
-        new = self._frame(entity, data)
+        at = "__at"
+        if isinstance(data, DataFrame):
+            data = data.withColumn(at, F.monotonically_increasing_id())
+        new = self._frame(entity, data if isinstance(data, DataFrame) else [{**dict(r), at: n} for n, r in enumerate(data)], at)
         missing = [k for k in keys if k not in new.columns]
         if missing:
             raise ModelError(f'upsert into "{name}" needs its keys {missing}')
-        rest = [c for c in new.columns if c not in keys]
-        new = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("n")).select(*keys, *[F.col("n")[c].alias(c) for c in rest]) if rest else new.distinct()
+        rest = [c for c in new.columns if c not in keys and c != at]
+        new = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("n")).select(*keys, *[F.col("n")[c].alias(c) for c in rest]) if rest else new.drop(at).distinct()
         old = self.store.read(name)
         a, b = old.select(*[F.col(f"`{c}`").alias(f"o__{c}") for c in old.columns], F.lit(True).alias("o__")), self._filled(entity, new)
         b = b.select(*[F.col(f"`{c}`").alias(f"n__{c}") for c in b.columns], F.lit(True).alias("n__"))
@@ -204,7 +252,7 @@ class Writer:
         types = {f.name: f.dataType for f in schema_of(entity)}
         unknown = [c for c in {**(data or {}), **(exprs or {})} if c not in types]
         if unknown:
-            raise ModelError(f"STRICT MODE: Trying to write non existent columns ({', '.join(unknown)})")
+            raise ModelError(f"\"{name}\" has no columns {unknown} to write")
         low = Lowering(self.engine, params)
         node = low.node(entity, flagged, entity.name)
         scope = Scope(low, {entity.name: node})
@@ -237,7 +285,7 @@ class Writer:
             if not (e.is_assoc and e.composition) or e.target not in self.store.tables():
                 continue
             if e.target in above and e.target != entity.name:
-                raise ModelError(f"Transitive circular composition detected: {' -> '.join((*above, entity.name, e.target))}")
+                raise ModelError(f"the compositions {' -> '.join((*above, entity.name, e.target))} go round in a circle")
             if e.target == entity.name and depth <= 0:
                 continue
             target = self.engine.model.entity(e.target)
@@ -291,13 +339,8 @@ class Writer:
         """The child's foreign keys, from an on condition of equal columns."""
         if e.on is None:
             return {}
-        low = Lowering(self.engine, {})
-        target = self.engine.model.entity(e.target)
-        empty = self.engine.spark.createDataFrame([], schema_of(entity)), self.engine.spark.createDataFrame([], schema_of(target))
-        a, b = low.node(entity, empty[0], "a"), low.node(target, empty[1], "b")
-        pairs = low.equal_keys(e, a, b, "")
-        names = lambda c: c._jc.toString().strip("`").partition("__")[2]
-        return {names(t): row.get(names(s)) for s, t in pairs or []}
+        pairs = Lowering(self.engine, {}).key_names(e, self.engine.model.entity(e.target))
+        return {t: row.get(s) for s, t in pairs or []}
 
     def insert_deep(self, name: str, docs: Iterable[Mapping]) -> dict[str, int]:
         """Documents with compositions: parents and children are written in one transaction. Rows by entity."""
@@ -342,11 +385,8 @@ class Writer:
             done = {n: f() for n, f in steps.items()}
         except BaseException:
             if own:
-                self.store.rollback()
-                for n in list(self.engine.tables):
-                    if n in self.store.tables():
-                        self._refresh(n)
+                self.rollback()
             raise
         if own:
-            self.store.commit()
+            self.commit()
         return done

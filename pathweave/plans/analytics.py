@@ -146,7 +146,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "not_in_empty": ("SELECT from (SELECT from orders { o_orderkey, nullif(o_orderstatus, 'F') as st }) as o { o_orderkey } where st not in []", "select o_orderkey from orders where nullif(o_orderstatus, 'F') is not null"),
     "in_subquery": ("SELECT from orders { o_orderkey } where o_custkey in (SELECT from customer { c_custkey } where c_mktsegment = 'BUILDING')", "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')"),
     "not_in_subquery": ("SELECT from customer { c_custkey } where c_custkey not in (SELECT from orders { o_custkey } where o_totalprice > 100000)", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 100000)"),
-    "between_like": ("SELECT from part { p_partkey, p_name } where p_size between 10 and 20 and p_type not like '%STEEL%' and p_size not between 12 and 13", "select p_partkey, p_name from part where p_size between 10 and 20 and p_type not like '%STEEL%' and p_size not between 12 and 13"),
+    "between_like": ("SELECT from part { p_partkey, p_name } where p_size between 10 and 20 and p_type not like '%MED%' and p_size not between 12 and 13", "select p_partkey, p_name from part where p_size between 10 and 20 and p_type not like '%MED%' and p_size not between 12 and 13"),
     "like_regex": ("SELECT from customer { c_custkey } where c_name like /0[0-4]$/", "select c_custkey from customer where regexp_matches(c_name, '0[0-4]$')"),
     "path_left_join": ("SELECT from customer { c_custkey, nation.n_name }", "select c_custkey, n_name as nation_n_name from customer left join nation on n_nationkey = c_nationkey"),
     "path_deep_4hop": ("SELECT from lineitem { l_orderkey, l_linenumber, order.customer.nation.region.r_name as region } where order.customer.nation.region.r_name = 'ASIA'", "select l_orderkey, l_linenumber, r_name as region from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey where r_name = 'ASIA'"),
@@ -186,7 +186,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "win_lag_lead": ("SELECT from orders { o_orderkey, lag(o_totalprice) over (partition by o_custkey order by o_orderkey) as before, lead(o_totalprice, 2, 0.0) over (partition by o_custkey order by o_orderkey) as after2 }", "select o_orderkey, lag(o_totalprice) over (partition by o_custkey order by o_orderkey) as before, lead(o_totalprice, 2, 0.0) over (partition by o_custkey order by o_orderkey) as after2 from orders"),
     "win_first_last_nth": ("SELECT from orders { o_orderkey, first_value(o_orderkey) over (partition by o_custkey order by o_orderkey) as f, last_value(o_orderkey) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and unbounded following) as l, nth_value(o_orderkey, 2) over (partition by o_custkey order by o_orderkey) as n2 }", "select o_orderkey, first_value(o_orderkey) over w as f, last_value(o_orderkey) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and unbounded following) as l, nth_value(o_orderkey, 2) over w as n2 from orders window w as (partition by o_custkey order by o_orderkey)"),
     "win_agg_partition": ("SELECT from orders { o_orderkey, count(*) over (partition by o_custkey) as n, max(o_totalprice) over (partition by o_custkey) as top }", "select o_orderkey, count(*) over (partition by o_custkey) as n, max(o_totalprice) over (partition by o_custkey) as top from orders"),
-    "fn_string": ("SELECT from part { p_partkey, length(p_name) as len, tolower(p_brand) as lo, toupper(p_name) as up, concat(p_brand, '-', p_type) as cc, indexof(p_name, 'a') as ix, startswith(p_type, 'PROMO') as sw, endswith(p_type, 'TIN') as ew, trim('  x ') as tr }", "select p_partkey, length(p_name) as len, lower(p_brand) as lo, upper(p_name) as up, p_brand || '-' || p_type as cc, instr(p_name, 'a') - 1 as ix, starts_with(p_type, 'PROMO') as sw, suffix(p_type, 'TIN') as ew, 'x' as tr from part"),
+    "fn_string": ("SELECT from part { p_partkey, length(p_name) as len, tolower(p_brand) as lo, toupper(p_name) as up, concat(p_brand, '-', p_type) as cc, indexof(p_name, 'a') as ix, startswith(p_type, 'PROMO') as sw, endswith(p_type, 'UM') as ew, trim('  x ') as tr }", "select p_partkey, length(p_name) as len, lower(p_brand) as lo, upper(p_name) as up, p_brand || '-' || p_type as cc, instr(p_name, 'a') - 1 as ix, starts_with(p_type, 'PROMO') as sw, suffix(p_type, 'UM') as ew, 'x' as tr from part"),
     "fn_substring_neg": ("SELECT from part { p_partkey, substring(p_type, 1, 2) as a, substring(p_type, 5) as b, substring(p_type, -3) as c, substring(p_type, 0, 1) as d }", "select p_partkey, substr(p_type, 2, 2) as a, substr(p_type, 6) as b, right(p_type, 3) as c, left(p_type, 1) as d from part"),
     "fn_contains_null": ("SELECT from (SELECT from orders { o_orderkey, nullif(o_orderpriority, '1-URGENT') as pr }) as o { o_orderkey, contains(pr, 'HIGH') as high } where not startswith(pr, '2')", "select o_orderkey, coalesce(contains(nullif(o_orderpriority, '1-URGENT'), 'HIGH'), false) as high from orders where not coalesce(starts_with(nullif(o_orderpriority, '1-URGENT'), '2'), false)"),
     "fn_math_round": ("SELECT from lineitem { l_orderkey, l_linenumber, round(l_extendedprice, 1) as r1, floor(l_extendedprice) as fl, ceiling(l_extendedprice) as ce, abs(l_tax - 0.05) as ab, sqrt(l_quantity) as sq }", "select l_orderkey, l_linenumber, round(l_extendedprice, 1) as r1, cast(floor(l_extendedprice) as bigint) as fl, cast(ceil(l_extendedprice) as bigint) as ce, abs(l_tax - 0.05) as ab, sqrt(l_quantity) as sq from lineitem"),
@@ -199,7 +199,7 @@ PAIRS: dict[str, tuple[str, str]] = {
         day(l_shipdate) * 86400000000 + epoch_us(l_shipdate) - epoch_us(date_trunc('day', l_shipdate)) as dt2 from lineitem join orders on o_orderkey = l_orderkey))""",
     ),
     "search_default": ("SELECT from customer { c_custkey } search 'building'", "select c_custkey from customer where contains(lower(c_name), 'building') or contains(lower(c_mktsegment), 'building')"),
-    "search_function": ("SELECT from part { p_partkey } where search((p_name, p_type), 'steel')", "select p_partkey from part where contains(lower(p_name), 'steel') or contains(lower(p_type), 'steel')"),
+    "search_function": ("SELECT from part { p_partkey } where search((p_name, p_type), 'small')", "select p_partkey from part where contains(lower(p_name), 'small') or contains(lower(p_type), 'small')"),
     "inline_assoc": ("SELECT from customer { c_custkey, nation.{ n_name, n_regionkey } }", "select c_custkey, n_name as nation_n_name, n_regionkey as nation_n_regionkey from customer left join nation on n_nationkey = c_nationkey"),
     "expand_to_one": ("SELECT from customer { c_custkey, nation { n_name, n_regionkey } }", "select c_custkey, n_name, n_regionkey from customer left join nation on n_nationkey = c_nationkey"),
     "expand_to_many": ("SELECT from nation { n_name, customers[c_acctbal > 9000] { c_custkey } order by c_custkey as top }", "select n_name, row_number() over (partition by n_nationkey order by c_custkey) - 1 as pos, c_custkey from nation join customer on c_nationkey = n_nationkey and c_acctbal > 9000 union all select n_name, null, null from nation where not exists (select 1 from customer where c_nationkey = n_nationkey and c_acctbal > 9000)"),
@@ -245,7 +245,7 @@ def parts_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hier_levels(spark, d):
-    return T.hierarchy(parts_tree(spark, d), "id", "parent").select("id", "level", "root", "parent")
+    return T.levels(parts_tree(spark, d), "id", "parent").select("id", "level", "root", "parent")
 
 
 def hier_ranks(spark, d):
@@ -288,7 +288,7 @@ def search_deep(spark, d):
 def search_all_terms(spark, d):
     e = engine(spark, d)
     e.search_all_terms = True
-    return e.run("SELECT from part { p_partkey } search 'promo tin'")
+    return e.run("SELECT from part { p_partkey } search 'promo widget'")
 
 
 def query_count(spark, d):
@@ -313,14 +313,14 @@ ORACLE |= {
     "hier_ranks": f"""with recursive nodes as {_TREE}, p as (select id, [id] as path from nodes where parent is null union all select n.id, list_append(p.path, n.id) from nodes n join p on n.parent = p.id),
     s as (select a, count(*) as tree_size from (select unnest(path) as a from p) group by a) select id, row_number() over (order by path) as rank, tree_size from p join s on a = id""",
     "hier_descendants": f"{_WALK}, l as (select id, max(dist) + 1 as level from up group by id) select up.id, min(dist) as distance from up join l on l.id = anc where level = 2 and dist >= 1 group by up.id",
-    "hier_ancestors": f"{_WALK} select anc as id, max(-dist) as distance from up where id not in (select parent from nodes where parent is not null) group by anc",
+    "hier_ancestors": f"{_WALK} select anc as id, min(-dist) as distance from up where id not in (select parent from nodes where parent is not null) group by anc",
     "hier_top_levels": f"""{_WALK}, l as (select id, max(dist) + 1 as level from up group by id), s as (select anc, count(*) as n from up group by anc),
     o as (select id, [id] as path from nodes where parent is null), p as (select id, [id] as path from nodes where parent is null union all select n.id, list_append(p.path, n.id) from nodes n join p on n.parent = p.id)
     select l.id, level, case when s.n = 1 then 'leaf' when level < 2 then 'expanded' else 'collapsed' end as drill_state, row_number() over (order by path) - 1 as limited_rank from l join s on s.anc = l.id join p on p.id = l.id where level <= 2""",
     "localized_view": "with t as (select ID, min(row(text_ID, title)) as r from books_texts where locale = 'de' group by ID) select b.ID, coalesce(r[2], title) as title from (select distinct ID, title from books) b left join t on t.ID = b.ID",
     "temporal_slice": "select event_id, event_type from events where ts < (select min(ts) from events) + interval 2 day and ts + interval 1 day > (select min(ts) from events)",
     "search_deep": "select o_orderkey from orders left join customer on c_custkey = o_custkey where contains(lower(o_orderstatus), 'machinery') or contains(lower(o_orderpriority), 'machinery') or contains(lower(c_name), 'machinery') or contains(lower(c_mktsegment), 'machinery')",
-    "search_all_terms": "select p_partkey from part where (contains(lower(p_name), 'promo') or contains(lower(p_brand), 'promo') or contains(lower(p_type), 'promo')) and (contains(lower(p_name), 'tin') or contains(lower(p_brand), 'tin') or contains(lower(p_type), 'tin'))",
+    "search_all_terms": "select p_partkey from part where (contains(lower(p_name), 'promo') or contains(lower(p_brand), 'promo') or contains(lower(p_type), 'promo')) and (contains(lower(p_name), 'widget') or contains(lower(p_brand), 'widget') or contains(lower(p_type), 'widget'))",
     "query_count": "select count(distinct c_mktsegment) as n from orders join customer on c_custkey = o_custkey",
     "parameters": "select p_partkey from part where p_size > 30 and p_brand = 'Brand#12'",
     "plain_sql": "select c_mktsegment, count(*) as n from customer where c_acctbal > 0 group by c_mktsegment",

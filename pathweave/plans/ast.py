@@ -11,6 +11,7 @@ class Step:
     id: str
     where: Any = None
     args: tuple = ()
+    rest: Any = None  # a Select with the order, limit and groups given in the brackets
 
 
 @dataclass(frozen=True)
@@ -128,6 +129,8 @@ class Item:
     limit: int | None = None
     offset: int = 0
     group: tuple = ()
+    having: Any = None
+    search: tuple = ()
 
 
 @dataclass(frozen=True)
@@ -171,5 +174,6 @@ class Select:
     offset: int = 0
     search: tuple = ()
     localized: bool = False
+    recurse: Any = None  # (association, condition)
     unions: list = field(default_factory=list)
     ctes: list = field(default_factory=list)

@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.registry import AGGREGATES, Literal, call
+from ..functions.registry import AGGREGATES, Literal, call, placed
 from ..model import Element, Entity, ModelError
+from ..runtime import written
 from . import ast as A
 from .parser import parse, parse_expr
 
@@ -26,6 +27,9 @@ TYPES = {
     "timestamp": "timestamp", "binary": "binary", "largebinary": "binary", "vector": "array<float>", "map": "variant", "tinyint": "smallint", "real": "float",
 }
 
+#: Weights of columns in a search by score.
+RANKING = {"HIGH": 0.8, "MEDIUM": 0.5, "LOW": 0.3}
+
 
 @dataclass
 class Node:
@@ -61,7 +65,7 @@ class Scope:
         self.lowering, self.sources, self.outer = lowering, sources, outer
         self.items: dict[str, A.Item] = {}
         self.flags: list = []  # (DataFrame, join condition) of existence tests inside expressions
-        self.subs: list = []
+        self.nested: list = []  # joins of to-many results, made after the filters
         self.main = next(iter(sources.values())) if sources else None
         self.binding: set[str] = set()
 
@@ -78,7 +82,7 @@ class Lowering:
     def __init__(self, engine, params: dict):
         self.engine, self.params, self.aliases, self.ctes = engine, params, {}, {}
         self.localized = False
-        self.depth = 0
+        self.correlated = False
 
     # sources -------------------------------------------------------------------------------------------------------
 
@@ -132,12 +136,11 @@ class Lowering:
             left, ldf = self.table(t.left, outer)
             right, rdf = self.table(t.right, outer)
             if set(left) & set(right):
-                raise ModelError(f"Duplicate alias {sorted(set(left) & set(right))}")
+                raise ModelError(f"the alias {sorted(set(left) & set(right))} is given twice")
             both = {**left, **right}
             if t.on is None:
                 return both, ldf.crossJoin(rdf)
             scope = Scope(self, both, outer)
-            scope.flat_only = True
             return both, ldf.join(rdf, self.boolean(t.on, scope), {"full": "full", "cross": "inner"}.get(t.how, t.how))
         if t.query is not None:
             inner = Lowering(self.engine, self.params)
@@ -181,7 +184,7 @@ class Lowering:
         if isinstance(where, A.Val):
             keys = entity.keys()
             if len(keys) != 1:
-                raise ModelError('Shortcut notation "[v]" not available for composite primary key')
+                raise ModelError(f'[value] needs a key of one column; "{entity.name}" has {len(keys)}')
             return df.where(F.col(keys[0]) == F.lit(where.value))
         n = self.node(entity, df, entity.name)
         scope = Scope(self, {entity.name.rpartition(".")[2]: n})
@@ -245,7 +248,7 @@ class Lowering:
         if isinstance(e, A.Enum):
             symbols = near.enum if near is not None else None
             if not symbols or e.symbol not in symbols:
-                raise ModelError(f'Unknown enum symbol "#{e.symbol}"')
+                raise ModelError(f'"#{e.symbol}" is no symbol of the enumeration')
             v = symbols[e.symbol]
             return Bound(F.lit(v), solid=True, literal=v, is_literal=True)
         if isinstance(e, A.Param):
@@ -260,7 +263,7 @@ class Lowering:
         if isinstance(e, A.Cast):
             b = self.bind(e.arg, scope)
             if b.leaves is not None:
-                raise ModelError("Structured elements can't be cast to a different type")
+                raise ModelError("a structure can't be cast")
             base, _, size = e.type.partition("(")
             kind = TYPES.get(base.lower(), base)
             return Bound(b.column.cast(f"{kind.partition('(')[0]}({size}" if size and kind.startswith("decimal") else kind), b.element)
@@ -307,7 +310,10 @@ class Lowering:
             while top.outer is not None:
                 top = top.outer
             b = self.walk(top.main, e.steps[1:], e, scope)
-            return Bound(b.column.outer(), b.element, b.solid) if top is not scope else b
+            if top is scope:
+                return b
+            self.correlated = True
+            return Bound(b.column.outer(), b.element, b.solid)
         if head.startswith("$") and head != "$source":
             v = self.engine.session.get(e.names)
             return Bound(F.lit(v), solid=v is not None, literal=v, is_literal=True)
@@ -325,6 +331,7 @@ class Lowering:
                 b = self.walk(hits[0], e.steps, e, scope)
             if out:
                 b.column = b.column.outer()
+                self.correlated = True
             return b
         if head in scope.items and head not in scope.binding:
             return self.own(A.Ref((A.Step("$self"), *e.steps)), scope)
@@ -365,7 +372,7 @@ class Lowering:
                 prefix, elements, i = "", node.entity.elements, i + 1
                 continue
             if step.where is not None:
-                raise ModelError("A filter can only be provided when navigating along associations")
+                raise ModelError(f'"{el.name}" is no association, so it takes no filter')
             if el.elements is not None:
                 prefix += el.name + "_"
                 if not rest:
@@ -375,7 +382,7 @@ class Lowering:
             if rest:
                 raise ModelError(f'"{rest[0].id}" not found in "{el.name}"')
             if el.virtual:
-                raise ModelError(f'Virtual elements are not allowed in expressions: "{el.name}"')
+                raise ModelError(f'"{el.name}" is virtual: it has no value in the tables')
             if el.calc is not None and f"{node.alias}__{prefix}{el.name}" not in node.df.columns:
                 inner = Scope(self, {"$source": node})
                 return Bound(self.bind(parse_expr(el.calc), inner).column, el)
@@ -427,7 +434,7 @@ class Lowering:
     def compare_leaves(self, op: str, left: Bound, right: Bound) -> Column:
         """Structures are equal if all leaves are; a structure meets a value only if it has one leaf, and null with all."""
         if op not in ("=", "==", "!=", "<>", "is"):
-            raise ModelError(f'A structured operand can\'t be used with "{op}"')
+            raise ModelError(f'structures can be tested for equality only, not with "{op}"')
         if left.leaves is None:
             left, right = right, left
         if right.leaves is None:
@@ -436,11 +443,11 @@ class Lowering:
             elif len(left.leaves) == 1:
                 pairs = [(left.leaves[0][1], right.column)]
             else:
-                raise ModelError("A structured operand can only be compared to a value if it has exactly one leaf")
+                raise ModelError(f"a structure of {len(left.leaves)} leaves can't be compared with a single value")
         else:
             theirs = dict(right.leaves)
             if set(theirs) != {n for n, _ in left.leaves}:
-                raise ModelError("Structures of different shape can't be compared")
+                raise ModelError("the structures have different leaves")
             pairs = [(c, theirs[n]) for n, c in left.leaves]
         out = []
         for a, b in pairs:
@@ -452,14 +459,8 @@ class Lowering:
         if isinstance(e.items, A.Select):
             sub = self.subquery(e.items, scope)
             cols = [self.scalar(x, scope).column for x in (e.arg.items if isinstance(e.arg, A.Row) else (e.arg,))]
-            hit = _and([F.col(f"`{c}`") == x.outer() for c, x in zip(sub.columns, cols)])
-            some = sub.where(hit).exists()
-            if not e.negated:
-                return some
-            # null on either side makes NOT IN unknown
-            unknown = sub.where(reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in sub.columns])).exists()
-            nulls = reduce(lambda a, b: a | b, [c.isNull() for c in cols])
-            return ~some & ~unknown & ~nulls
+            hit = (F.struct(*cols) if len(cols) > 1 else cols[0]).isin(sub)
+            return ~hit if e.negated else hit
         left = self.bind(e.arg, scope)
         if not e.items:
             return left.column.isNotNull() if e.negated else left.column.isNull()
@@ -480,16 +481,24 @@ class Lowering:
             return F.lit(self.engine.session.get(names))
         if name == "$count":
             return self.related(e.args[0], scope)
+        if name == "score":
+            cols = e.args[0].items if isinstance(e.args[0], A.Row) else (e.args[0],)
+            return self.score(cols, str(e.args[1].value).lower(), scope)
         if name == "search":
             cols = e.args[0].items if isinstance(e.args[0], A.Row) else (e.args[0],)
             return self.matches([self.scalar(c, scope).column for c in cols], (e.args[1].value,))
         args: list = []
-        for a in (*e.args, *(v for _, v in e.named)):
+        for a in (*e.args, *placed(e.name, len(e.args), e.named)):
             if isinstance(a, A.Val) and a.value == "*" and name == "count":
                 continue
             b = self.scalar(a, scope)
             args.append(Literal(b.literal) if b.is_literal else b.column)
-        out = call(e.name, args, e.distinct)
+        if name in self.engine.own_functions:
+            out = self.engine.own_functions[name](*[a.column if isinstance(a, Literal) else a for a in args])
+        else:
+            out = call(e.name, args, e.distinct)
+        if name == "count" and self.engine.count_as_text:
+            out = out if e.over is not None else out.cast("string")
         if e.over is None:
             return out
         order = [self.sorted(s, scope) for s in e.over.order]
@@ -516,7 +525,9 @@ class Lowering:
     def subquery(self, q: A.Select, scope: Scope) -> DataFrame:
         inner = Lowering(self.engine, self.params)
         inner.ctes, inner.localized, inner.aliases = self.ctes, self.localized, self.aliases
-        return inner.query(q, outer=scope)
+        out = inner.query(q, outer=scope)
+        self.correlated_sub = inner.correlated
+        return out
 
     def target_chain(self, node: Node, steps: tuple, prefix: str = "") -> tuple[Node, Column]:
         """The rows that an exists path ends with, reduced step by step from its end, and how they meet the source row."""
@@ -531,7 +542,7 @@ class Lowering:
             raise ModelError(f'"{step.id}" not found in the elements of "{node.entity.name}"')
         assoc = entity_elements[step.id]
         if not assoc.is_assoc:
-            raise ModelError(f'Expecting path "{".".join(s.id for s in steps)}" following “EXISTS” predicate to end with association/composition')
+            raise ModelError(f'exists wants a path that ends with an association; "{".".join(s.id for s in steps)}" does not')
         target = self.known(assoc.target)
         t = self.node(target, self.filtered(target, step.where, {k: self.value(v) for k, v in step.args}), assoc.name)
         cond = self.on(assoc, node, t, prefix)
@@ -587,30 +598,33 @@ class Lowering:
             prefix, elements = prefix + s.id + "_", el.elements
         raise ModelError("no association")
 
-    def equal_keys(self, assoc: Element, source: Node, target: Node, prefix: str) -> list[tuple[Column, Column]] | None:
+    def key_names(self, assoc: Element, target: Entity, prefix: str = "") -> list[tuple[str, str]] | None:
         """(source column, target column) pairs if the association means that these are equal, else None."""
         if assoc.keys:
-            return [(source.col(f"{prefix}{assoc.name}_{s}"), target.col(k)) for k, s in assoc.keys.items()]
-        e = parse_expr(assoc.on)
+            return [(f"{prefix}{assoc.name}_{s}", k) for k, s in assoc.keys.items()]
         out = []
-        for c in conjuncts(e):
+        for c in conjuncts(parse_expr(assoc.on)):
             if not (isinstance(c, A.Bin) and c.op in ("=", "==") and isinstance(c.left, A.Ref) and isinstance(c.right, A.Ref)):
                 return None
             for a, b in ((c.left, c.right), (c.right, c.left)):
                 if a.steps[0].id == assoc.name:
                     if b.names == ("$self",):
-                        back = _element(target.entity, a.steps[1].id)
+                        back = _element(target, a.steps[1].id)
                         if not back.keys:
                             return None
-                        out += [(source.col(k), target.col(f"{back.name}_{s}")) for k, s in back.keys.items()]
+                        out += [(k, f"{back.name}_{s}") for k, s in back.keys.items()]
                     else:
                         mine = b.names[1:] if b.names[0] == "$self" else b.names
-                        out.append((source.col("_".join(mine)), target.col("_".join(a.names[1:]))))
+                        out.append(("_".join(mine), "_".join(a.names[1:])))
                     break
             else:
                 return None
         return out
 
+    def equal_keys(self, assoc: Element, source: Node, target: Node, prefix: str) -> list[tuple[Column, Column]] | None:
+        names = self.key_names(assoc, target.entity, prefix)
+        return None if names is None else [(source.col(a), target.col(b)) for a, b in names]
+
     def where(self, df: DataFrame, e, scope: Scope) -> DataFrame:
         """Filters; existence tests that stand alone become semi and anti joins."""
         plain, semi = [], []
@@ -625,6 +639,11 @@ class Lowering:
                 left = self.scalar(inner.arg, scope).column
                 name = self.alias("in")
                 semi.append((sub.toDF(f"{name}__v"), left == F.col(f"{name}__v"), "left_semi"))
+            elif (never := self.not_in(c, scope)) is not None:
+                sub, left, keep = never
+                name = self.alias("in")
+                semi.append((sub.toDF(f"{name}__v"), left == F.col(f"{name}__v"), "left_anti"))
+                plain.append(keep)
             else:
                 plain.append(self.boolean(c, scope))
         df = self.joined(df, list(scope.sources.values()))
@@ -637,6 +656,24 @@ class Lowering:
             df = df.join(t, cond, how)
         return df
 
+    def not_in(self, c, scope: Scope) -> tuple[DataFrame, Column, Column] | None:
+        """For ``x not in (query)`` as a condition of its own: the query, x, and what else has to hold besides that no row matches.
+
+        Nothing else if the query is empty; if not, neither x nor any row of the query may be null. The hash anti join of
+        Spark that knows nulls would send the whole query to all executors; this one needs two counts.
+        """
+        if isinstance(c, A.Not) and isinstance(c.arg, A.In) and not c.arg.negated:
+            c = A.In(c.arg.arg, c.arg.items, True)
+        if not (isinstance(c, A.In) and isinstance(c.items, A.Select) and c.negated and not isinstance(c.arg, A.Row)):
+            return None
+        sub = self.subquery(c.items, scope)
+        left = self.scalar(c.arg, scope).column
+        if self.correlated_sub or scope.outer is not None:
+            return None
+        v = F.col(f"`{sub.columns[0]}`")
+        counts = sub.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(v).alias("known")).alias("c")).scalar()
+        return sub, left, (counts["n"] == 0) | (left.isNotNull() & (counts["n"] == counts["known"]))
+
     # search --------------------------------------------------------------------------------------------------------
 
     def matches(self, cols: list[Column], terms: tuple) -> Column:
@@ -652,39 +689,54 @@ class Lowering:
     def hit(self, text: Column, term: str) -> Column:
         """Contains the term; with a fuzzy threshold also some word that is at least that similar to it."""
         found = F.contains(text, F.lit(term))
-        if self.engine.fuzzy is None:
-            return found
-        like = lambda w: F.lit(1.0) - F.levenshtein(w, F.lit(term)) / F.greatest(F.length(w), F.lit(len(term)))
-        return found | F.exists(F.split(text, r"\W+"), lambda w: like(w) >= self.engine.fuzzy)
+        return found if self.engine.fuzzy is None else found | F.exists(F.split(text, r"\W+"), lambda w: self.likeness(w, term) >= self.engine.fuzzy)
+
+    @staticmethod
+    def likeness(word: Column, term: str) -> Column:
+        return F.lit(1.0) - F.levenshtein(word, F.lit(term)) / F.greatest(F.length(word), F.lit(len(term)))
 
-    def search(self, q: A.Select, scope: Scope, df: DataFrame) -> DataFrame:
-        node = scope.main
+    def score(self, cols: tuple, term: str, scope: Scope) -> Column:
+        """How well the best word of the columns fits the term (1: contained), by the weight that the model gives each column."""
+        out = []
+        for c in cols:
+            b = self.scalar(c, scope)
+            text = F.lower(F.coalesce(b.column.cast("string"), F.lit("")))
+            best = F.array_max(F.transform(F.split(text, r"\W+"), lambda w: self.likeness(w, term)))
+            out.append(F.when(F.contains(text, F.lit(term)), 1.0).otherwise(best) * RANKING[(b.element.ranking if b.element else None) or "MEDIUM"])
+        return F.greatest(*out) if len(out) > 1 else out[0]
+
+    def found(self, node: Node, df: DataFrame, terms: tuple, above: tuple[str, ...] = ()) -> tuple[DataFrame, Column]:
+        """``df`` with what a condition needs that tells whether the node's row, or one that its searchable associations lead to, has the terms."""
         direct, deep = [], []
-        listed = any(e.searchable for e in node.entity.elements.values())
-        for e in node.entity.elements.values():
-            if e.searchable is False or e.virtual:
+        elements = node.entity.elements.values()
+        listed = any(e.searchable for e in elements)
+        for e in elements:
+            if e.searchable is False or e.virtual or e.hidden:
                 continue
             if e.is_assoc:
-                if e.searchable:
+                if e.searchable and e.target not in above:
                     deep.append(e)
             elif e.searchable or (not listed and e.type in ("String", "LargeString") and e.calc is None):
                 direct.append(self.bind(A.Ref((A.Step(e.name),)), Scope(self, {"$source": node})).column)
-        own = self.matches(direct, q.search) if direct or not deep else F.lit(False)
-        if not deep:
-            return df.where(own)
+        if not direct and listed and all(e.is_assoc for e in elements if e.searchable):
+            direct = [node.col(e.name) for e in elements if e.type in ("String", "LargeString") and e.searchable is not False and e.calc is None]
+        hit = self.matches(direct, terms) if direct or not deep else F.lit(False)
         # associations: rows that any related row matches, by key, so that none is multiplied
-        hit = own
         for e in deep:
             target = self.known(e.target)
-            tdf = self.entity_rows(target)
-            t = self.node(target, tdf, e.name)
-            cols = [t.col(x.name) for x in target.elements.values() if x.type in ("String", "LargeString") and x.searchable is not False]
-            t.df = t.df.where(self.matches(cols, q.search))
+            t = self.node(target, self.entity_rows(target), e.name)
             pairs = self.equal_keys(e, node, t, "")
+            if pairs is None:
+                raise ModelError(f'"{e.name}" can\'t be searched: its condition isn\'t an equality of columns')
+            tdf, there = self.found(t, t.df, terms, (*above, node.entity.name))
             flag = self.alias("found")
-            keys = t.df.select(*[y.alias(f"{flag}__{i}") for i, (_, y) in enumerate(pairs)]).distinct().withColumn(flag, F.lit(True))
+            keys = tdf.where(there).select(*[y.alias(f"{flag}__{i}") for i, (_, y) in enumerate(pairs)]).distinct().withColumn(flag, F.lit(True))
             df = df.join(keys, _and([x == F.col(f"{flag}__{i}") for i, (x, _) in enumerate(pairs)]), "left")
             hit = hit | F.coalesce(F.col(flag), F.lit(False))
+        return df, hit
+
+    def search(self, terms: tuple, scope: Scope, df: DataFrame) -> DataFrame:
+        df, hit = self.found(scope.main, df, terms)
         return df.where(hit)
 
     # queries -------------------------------------------------------------------------------------------------------
@@ -701,24 +753,50 @@ class Lowering:
         for name, sub in q.ctes:
             inner = Lowering(self.engine, self.params)
             inner.ctes = dict(self.ctes)
-            self.ctes[name] = inner.query(sub)
+            self.ctes[name] = self.repeated(name, sub, inner) if any(_mentions(u, name) for _, u in _unions(sub)) else inner.query(sub)
         self.localized = self.localized or q.localized
         if q.source is None:
             scope = Scope(self, {}, outer)
             items = self.items(q.items or (), scope, q.excluding)
             return self.engine.spark.range(1).select(*[self.scalar(i.expr, scope).column.alias(n) for n, i in items.items()])
         if isinstance(q.source, A.Join) and q.items is None:
-            raise ModelError("queries using joins must specify the selected columns")
+            raise ModelError("a join needs a list of columns")
+        if q.recurse is not None:
+            return recursed(self, q, outer)
+        if isinstance(q.source, A.Table) and q.source.ref is not None:
+            q = _merged(q, (q.source.path or q.source.ref.steps)[-1].rest)
         sources, df = self.table(q.source, outer)
         scope = Scope(self, sources, outer)
         return self.select(q, scope, df)
 
+    def repeated(self, name: str, sub: A.Select, inner: Lowering) -> DataFrame:
+        """A query that refers to itself: the parts that do see the rows of the last round, until no round gives any. Without ALL a row comes once."""
+        parts = [(True, copy.copy(sub)), *_unions(sub)]
+        parts = [(every, copy.copy(u)) for every, u in parts]
+        for _, u in parts:
+            u.unions = []
+        every = all(e for e, _ in parts)
+        starts = [inner.query(u) for _, u in parts if not _mentions(u, name)]
+        if not starts:
+            raise ModelError(f'"{name}" refers to itself and has nothing to start from')
+        rows = reduce(DataFrame.union, starts)
+        rows = done = written(rows if every else rows.distinct(), name)
+        for _ in range(self.engine.most_rounds):
+            inner.ctes[name] = rows
+            step = reduce(DataFrame.union, [inner.query(u) for _, u in parts if _mentions(u, name)])
+            step = step.select(*[F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(step.columns, done.schema)])
+            rows = written(step if every else step.distinct().subtract(done), name)
+            if rows.isEmpty():
+                return done
+            done = done.union(rows)
+        raise ModelError(f'"{name}" still gives rows after {self.engine.most_rounds} rounds')
+
     def items(self, items: tuple | None, scope: Scope, excluding: tuple = ()) -> dict[str, A.Item]:
         """Names of the result in order: ``*`` expanded, later items replacing columns of the same name in place."""
         out: dict[str, A.Item] = {}
         items = (A.Item(star=True),) if items is None or items == () else items
         if sum(i.star for i in items) > 1:
-            raise ModelError('Duplicate wildcard "*" in select clause')
+            raise ModelError('"*" may come only once in a list of columns')
         at = next((k for k, i in enumerate(items) if i.star), None)
         for k, i in enumerate(items):
             if i.star:
@@ -729,16 +807,18 @@ class Lowering:
                             seen.setdefault(c, []).append(alias)
                 clash = [c for c, s in seen.items() if len(s) > 1 and not any(_name(j) == c for j in items if not j.star)]
                 if clash:
-                    raise ModelError("Ambiguous wildcard elements: " + ", ".join(f'select "{c}" explicitly with ' + ", ".join(f'"{a}.{c}"' for a in seen[c]) for c in clash))
+                    raise ModelError("several sources of \"*\" have the same columns: " + ", ".join(f'select "{c}" explicitly with ' + ", ".join(f'"{a}.{c}"' for a in seen[c]) for c in clash))
                 for c, s in seen.items():
                     out[c] = A.Item(A.Ref((A.Step(s[0]), A.Step(c)) if len(scope.sources) > 1 else (A.Step(c),)), c)
                 continue
+            if isinstance(i.expr, A.Ref) and self.is_elsewhere(i, scope):
+                continue
             if i.expand is not None and isinstance(i.expr, A.Ref) and self.is_structure(i.expr, scope):
                 i = A.Item(i.expr, i.alias, inline=i.expand, excluding=i.excluding)  # a structure is stored flat, and stays so
             if i.inline is not None:
                 for n, j in self.inlined(i, scope).items():
                     if n in out:
-                        raise ModelError(f'Duplicate definition of element "{n}"')
+                        raise ModelError(f'the column "{n}" is defined twice')
                     out[n] = j
                 continue
             if i.expand is None and isinstance(i.expr, A.Ref):
@@ -753,9 +833,9 @@ class Lowering:
                     continue
             n = _name(i, scope)
             if n is None:
-                raise ModelError("Expecting expression to have an alias name")
+                raise ModelError("an expression in a list of columns needs a name: write \"... as name\"")
             if n in out and not (at is not None and k > at):
-                raise ModelError(f'Duplicate definition of element "{n}"')
+                raise ModelError(f'the column "{n}" is defined twice')
             out[n] = i
         return out
 
@@ -787,6 +867,28 @@ class Lowering:
                 return None
         return None
 
+    def is_elsewhere(self, i: A.Item, scope: Scope) -> bool:
+        """Whether the column lies in an entity that has no rows here; such columns are left out. Foreign keys are here."""
+        names = i.expr.names
+        if names[0].startswith("$"):
+            return False
+        steps = i.expr.steps[1:] if names[0] in scope.sources and len(names) > 1 else i.expr.steps
+        entity = next((n.entity for n in scope.sources.values() if names[0] not in scope.sources and steps[0].id in n.entity.elements), None)
+        entity = scope.sources[names[0]].entity if names[0] in scope.sources and len(names) > 1 else entity
+        elements = entity.elements if entity is not None else {}
+        for k, s in enumerate(steps):
+            e = elements.get(s.id)
+            if e is None:
+                return False
+            if e.is_assoc:
+                if not self.known(e.target).persisted:
+                    rest = "_".join(x.id for x in steps[k + 1 :])
+                    return i.expand is not None or i.inline is not None or (bool(rest) and rest not in (e.keys or {}))
+                elements = self.known(e.target).elements
+            else:
+                elements = e.elements or {}
+        return False
+
     def is_structure(self, ref: A.Ref, scope: Scope) -> bool:
         node, steps = self.start(ref, scope)
         elements, e = node.entity.elements, None
@@ -811,7 +913,7 @@ class Lowering:
                 n = j.alias or "_".join(j.expr.names)
                 out[f"{base}_{n}"] = A.Item(A.Ref((*i.expr.steps, *j.expr.steps)), inline=None)
             else:
-                raise ModelError("Unexpected expression in an inline projection")
+                raise ModelError("a flat projection takes columns, no expressions")
         return out
 
     def flat_of(self, ref: A.Ref, scope: Scope) -> list[str]:
@@ -825,7 +927,7 @@ class Lowering:
             elif e.elements is not None:
                 elements = e.elements
             else:
-                raise ModelError(f'Unexpected “inline” or “expand” on "{s.id}"')
+                raise ModelError(f'"{s.id}" is a plain column: nothing can be projected from it')
         if elements is entity.elements:
             return list(entity.flat())
         return [n for e in elements.values() for n, _ in entity.leaves(e, e.name)]
@@ -834,7 +936,7 @@ class Lowering:
         names = self.items(q.items, scope, q.excluding)
         scope.items = {n: i for n, i in names.items() if i.expand is None}
         if not names:
-            raise ModelError("Queries must have at least one non-virtual column")
+            raise ModelError("no column is left to select")
         grouped = bool(q.group) or any(_has_aggregate(i.expr) for i in names.values() if i.expand is None)
         if q.having is not None and not q.group and not _has_aggregate(q.having):
             raise ModelError("HAVING needs a GROUP BY or an aggregate")
@@ -845,13 +947,11 @@ class Lowering:
             for e in [A.Ref((*g.steps, A.Step(x))) for x in leaves] if leaves else [g]:
                 group.append((e, self.scalar(e, scope).column))
         columns: dict[str, Column] = {}
-        many: list[tuple[str, A.Item]] = []
         for n, i in names.items():
             if i.expand is None:
                 columns[n] = self.scalar(i.expr, scope).column
             elif self.is_many(i, scope):
-                many.append((n, i))
-                columns[n] = None
+                columns[n] = self.to_many(i, scope)
             else:
                 columns[n] = self.to_one(i, scope, [g for g, _ in group] if grouped else None)
         having = self.boolean(q.having, scope) if q.having is not None else None
@@ -859,18 +959,20 @@ class Lowering:
         for s in q.order:
             if isinstance(s.expr, A.Ref) and len(s.expr.steps) == 1 and s.expr.names[0] in columns:
                 order.append((s, None, s.expr.names[0]))
-            elif isinstance(s.expr, A.Ref) and self.peek_leaves(s.expr, scope):
-                raise ModelError(f'Can\'t use structured element "{".".join(s.expr.names)}" in order by')
+            elif isinstance(s.expr, A.Ref) and (leaves := self.peek_leaves(s.expr, scope)):
+                if len(leaves) > 1:
+                    raise ModelError(f'"{".".join(s.expr.names)}" has {len(leaves)} leaves, so order by needs one of them')
+                order.append((s, self.scalar(A.Ref((*s.expr.steps, A.Step(leaves[0]))), scope).column, None))
             else:
                 order.append((s, self.scalar(s.expr, scope).column, None))
         df = self.where(df, q.where, scope)
-        if q.search and not (grouped and self._search_aggregates(q, names)):
-            df = self.search(q, scope, df)
+        if q.search and not grouped:
+            df = self.search(q.search, scope, df)
         extras = [c.alias(f"__o{k}") for k, (_, c, n) in enumerate(order) if n is None]
         if grouped:
             if having is not None:
                 extras.append(having.alias("__having"))
-            if many:
+            if scope.nested:
                 raise ModelError("a to-many expand can't be grouped")
             results = [*[c.alias(n) for n, c in columns.items()], *extras]
             if group:
@@ -880,11 +982,13 @@ class Lowering:
                 df = df.select(*results)  # one row; unlike groupBy this may refer to an outer query
             if having is not None:
                 df = df.where("__having").drop("__having")
-            if q.search and self._search_aggregates(q, names):
-                df = df.where(self.matches([F.col(f"`{n}`") for n in self._search_aggregates(q, names)], q.search))
+            if q.search:
+                # the texts that the groups have: columns grouped by, and results of aggregates
+                text = {c for c, t in df.dtypes if t == "string"}
+                df = df.where(self.matches([F.col(f"`{n}`") for n, i in names.items() if n in text and isinstance(i.expr, (A.Ref, A.Func))], q.search))
         else:
-            for n, i in many:
-                df, columns[n] = self.to_many(n, i, scope, df, q.where is not None)
+            for attach in scope.nested:
+                df = attach(df, q.where is not None or bool(q.search))
             df = df.select(*[c.alias(n) for n, c in columns.items()], *extras)
         if q.distinct:
             df = df.distinct()
@@ -900,11 +1004,6 @@ class Lowering:
             df = df.limit(limit)
         return df.drop(*[f"__o{k}" for k in range(len(order))]) if extras else df
 
-    @staticmethod
-    def _search_aggregates(q: A.Select, names: dict[str, A.Item]) -> list[str]:
-        """Columns of a grouped query that a search looks at: smallest and largest texts."""
-        return [n for n, i in names.items() if isinstance(i.expr, A.Func) and i.expr.name.lower() in ("min", "max")]
-
     # nested results ------------------------------------------------------------------------------------------------
 
     def is_many(self, i: A.Item, scope: Scope) -> bool:
@@ -921,7 +1020,7 @@ class Lowering:
             elif e.elements is not None:
                 elements = e.elements
             else:
-                raise ModelError(f'Unexpected “expand” on "{s.id}"; can only be used after a reference to a structure, association or table alias')
+                raise ModelError(f'"{s.id}" is a plain column: nothing can be projected from it')
         return False
 
     def to_one(self, i: A.Item, scope: Scope, grouped: list | None) -> Column:
@@ -941,12 +1040,15 @@ class Lowering:
                 nested = copy.copy(j)
                 object.__setattr__(nested, "expr", A.Ref((*base, *j.expr.steps)))
                 if self.is_many(nested, scope):
-                    raise ModelError("a to-many expand inside a to-one expand isn't supported; start from the target")
-                cols[j.alias or j.expr.names[-1]] = self.to_one(nested, scope, grouped)
+                    if grouped is not None:
+                        raise ModelError("a to-many expand can't be grouped")
+                    cols[j.alias or j.expr.names[-1]] = self.to_many(nested, scope)
+                else:
+                    cols[j.alias or j.expr.names[-1]] = self.to_one(nested, scope, grouped)
                 continue
             full = _prefixed(j.expr, base)
             if grouped is not None and isinstance(j.expr, A.Ref) and full not in grouped:
-                raise ModelError(f'The expanded column "{".".join(full.names)}" must be part of the group by clause')
+                raise ModelError(f'"{".".join(full.names)}" isn\'t among the columns that the query groups by')
             cols[j.alias or _name(j)] = self.scalar(full, scope).column
         out = F.struct(*[c.alias(n) for n, c in cols.items()])
         node, steps = self.start(i.expr, scope)
@@ -979,55 +1081,132 @@ class Lowering:
                 elements = e.elements
         return entity
 
-    def to_many(self, name: str, i: A.Item, scope: Scope, df: DataFrame, reduced: bool = False) -> tuple[DataFrame, Column]:
-        """An array of structures per row, [] where there are none.
+    def to_many(self, i: A.Item, scope: Scope) -> Column:
+        """An array of structures per row, [] where there are none; the join that brings it is left in ``scope.nested``.
 
-        The target's rows are aggregated by their keys once and then joined; order and limit hold within a parent, by a rank. If the
-        parents are filtered, a semi join by the same keys comes first: it needs no other shuffle, and only their children are packed.
+        To-one steps at the start of the path are joined to the row. The rest leads to the rows that are aggregated by their keys once and then joined; order and limit
+        hold within a parent, by a rank, and so do groups. If the parents are filtered, a semi join by the same keys comes first: it needs no other shuffle,
+        and only their children are packed. Where the condition isn't an equality of columns, the parents, by their keys, meet the targets in a join of their own.
         """
         node, steps = self.start(i.expr, scope)
-        if len(steps) != 1:
-            raise ModelError("a to-many expand starts at the source")
-        assoc = _element(node.entity, steps[0].id)
-        target = self.known(assoc.target)
+        prefix, at = "", 0
+        elements = node.entity.elements
+        while True:
+            e = _element_of(elements, steps[at].id, node.entity.name)
+            if e.is_assoc and e.many:
+                break
+            if e.is_assoc:
+                node = self.child(node, e, steps[at], prefix)
+                prefix, elements = "", node.entity.elements
+            else:
+                prefix, elements = prefix + e.name + "_", e.elements or {}
+            at += 1
         inner = Lowering(self.engine, self.params)
         inner.ctes, inner.localized, inner.aliases = self.ctes, self.localized, self.aliases
-        t = inner.node(target, inner.filtered(target, steps[0].where), assoc.name)
-        pairs = inner.equal_keys(assoc, node, t, "")
-        if pairs is None:
-            raise ModelError(f'"{assoc.name}" can\'t be expanded: its condition isn\'t an equality of columns')
-        iscope = Scope(inner, {assoc.name: t})
+        target = self.known(e.target)
+        t = first = inner.node(target, inner.filtered(target, steps[at].where), e.name)
+        pairs = inner.equal_keys(e, node, first, prefix)
+        cond = inner.on(e, node, first, prefix) if pairs is None else None
+        for s in steps[at + 1 :]:
+            further = _element(t.entity, s.id)
+            if not further.is_assoc:
+                raise ModelError(f'"{s.id}" is no association of "{t.entity.name}"')
+            target = self.known(further.target)
+            n = inner.node(target, inner.filtered(target, s.where), further.name)
+            n.df = t.df.join(n.df, inner.on(further, t, n, ""))
+            t = n
+        iscope = Scope(inner, {steps[-1].id: t})
         cols = inner.items(i.expand, iscope, i.excluding)
         iscope.items = {n: x for n, x in cols.items() if x.expand is None}
+        grouped = bool(i.group) or any(_has_aggregate(x.expr) for x in cols.values() if x.expand is None)
+        if i.having is not None and not grouped:
+            raise ModelError("HAVING needs a GROUP BY or an aggregate")
         made: dict[str, Column] = {}
-        nested = []
+        groups = [inner.scalar(g, iscope).column for g in i.group]
         for n, x in cols.items():
             if x.expand is None:
                 made[n] = inner.scalar(x.expr, iscope).column
             elif inner.is_many(x, iscope):
-                nested.append((n, x))
-                made[n] = None
+                made[n] = inner.to_many(x, iscope)
             else:
-                made[n] = inner.to_one(x, iscope, None)
-        order = [inner.sorted(s, iscope) for s in i.order]
-        if reduced:
-            tag = self.alias("parents")
-            wanted = df.select(*[s.alias(f"{tag}__{k}") for k, (s, _) in enumerate(pairs)]).distinct()
-            t.df = t.df.join(wanted, _and([c == F.col(f"{tag}__{k}") for k, (_, c) in enumerate(pairs)]), "left_semi")
-        child = inner.where(t.df, i.where, iscope)
-        for n, x in nested:
-            child, made[n] = inner.to_many(n, x, iscope, child, reduced or i.where is not None)
-        fk = [f"__fk{k}" for k in range(len(pairs))]
-        child = child.select(*[c.alias(k) for (_, c), k in zip(pairs, fk)], F.struct(*[c.alias(n) for n, c in made.items()]).alias("__row"), *([F.row_number().over(Window.partitionBy(*[c for _, c in pairs]).orderBy(*order)).alias("__rn")] if order or i.limit is not None or i.offset else []))
-        ranked = "__rn" in child.columns
-        if i.limit is not None or i.offset:
-            child = child.where((F.col("__rn") > i.offset) & (F.col("__rn") <= i.offset + (i.limit if i.limit is not None else 2_147_483_000)))
-        packed = F.collect_list(F.struct("__rn", "__row")) if ranked else F.collect_list("__row")
-        lists = child.groupBy(*fk).agg((F.transform(F.array_sort(packed, lambda a, b: a["__rn"] - b["__rn"]), lambda x: x["__row"]) if ranked else packed).alias("__list"))
+                made[n] = inner.to_one(x, iscope, list(i.group) if grouped else None)
+        having = inner.boolean(i.having, iscope) if i.having is not None else F.lit(True)
+        order = [(s, made[s.expr.names[0]] if isinstance(s.expr, A.Ref) and len(s.expr.steps) == 1 and s.expr.names[0] in made else inner.scalar(s.expr, iscope).column) for s in i.order]
+        if grouped and iscope.nested:
+            raise ModelError("a to-many expand can't be grouped")
         tag = self.alias("expand")
-        lists = lists.select(*[F.col(k).alias(f"{tag}__{k}") for k in fk], F.col("__list").alias(f"{tag}__list"))
-        df = df.join(lists, _and([s == F.col(f"{tag}__{k}") for (s, _), k in zip(pairs, fk)]), "left")
-        return df, F.coalesce(F.col(f"{tag}__list"), F.array())
+        ranked = bool(order) or i.limit is not None or bool(i.offset)
+        keys = node.entity.keys()
+        if pairs is None and not keys:
+            raise ModelError(f'"{e.name}" can\'t be expanded: its condition isn\'t an equality of columns, and "{node.entity.name}" has no key')
+        parents = [s for s, _ in pairs] if pairs is not None else [node.col(k) for k in keys]
+
+        def attach(df: DataFrame, reduced: bool) -> DataFrame:
+            rows = t.df
+            if pairs is None:
+                source = df.select(*[c for c in node.df.columns if c in df.columns]).dropDuplicates([f"{node.alias}__{k}" for k in keys])
+                rows = rows.join(source, cond)
+            elif reduced:
+                wanted = df.select(*[s.alias(f"{tag}__p{k}") for k, s in enumerate(parents)]).distinct()
+                rows = rows.join(wanted, _and([c == F.col(f"{tag}__p{k}") for k, (_, c) in enumerate(pairs)]), "left_semi")
+            child = inner.where(rows, i.where, iscope)
+            if i.search:
+                child = inner.search(i.search, iscope, child)
+            for further in iscope.nested:
+                child = further(child, reduced or i.where is not None)
+            fk = [f"__fk{k}" for k in range(len(parents))]
+            of = [(c if pairs is None else pairs[k][1]).alias(fk[k]) for k, c in enumerate(parents)]
+            sorts = [c.alias(f"__o{k}") for k, (_, c) in enumerate(order)]
+            values = [c.alias(f"__c{k}") for k, c in enumerate(made.values())]
+            if grouped:
+                child = child.groupBy(*of, *[g.alias(f"__g{k}") for k, g in enumerate(groups)]).agg(*values, *sorts, having.alias("__having")).where("__having")
+            else:
+                child = child.select(*of, *values, *sorts)
+            row = F.struct(*[F.col(f"__c{k}").alias(n) for k, n in enumerate(made)])
+            rank = F.row_number().over(Window.partitionBy(*fk).orderBy(*[inner.sorted(s, iscope, F.col(f"__o{k}")) for k, (s, _) in enumerate(order)] or [F.lit(1)]))
+            child = child.select(*fk, row.alias("__row"), *([rank.alias("__rn")] if ranked else []))
+            if i.limit is not None or i.offset:
+                child = child.where((F.col("__rn") > i.offset) & (F.col("__rn") <= i.offset + (i.limit if i.limit is not None else 2_147_483_000)))
+            if not ranked:
+                packed = F.collect_list("__row")
+            else:
+                packed = F.collect_list(F.struct("__rn", "__row"))
+                # the rank is unique within a parent, so the order of the structures is that of the ranks
+                plain = not any(x in child.schema["__row"].dataType.simpleString() for x in ("map<", "variant"))
+                packed = F.transform(F.array_sort(packed) if plain else F.array_sort(packed, lambda a, b: a["__rn"] - b["__rn"]), lambda x: x["__row"])
+            lists = child.groupBy(*fk).agg(packed.alias(f"{tag}__list")).select(*[F.col(k).alias(f"{tag}__{k}") for k in fk], f"{tag}__list")
+            return df.join(lists, _and([s == F.col(f"{tag}__{k}") for s, k in zip(parents, fk)]), "left")
+
+        scope.nested.append(attach)
+        return F.coalesce(F.col(f"{tag}__list"), F.array())
+
+
+def _unions(q: A.Select) -> list[tuple[bool, A.Select]]:
+    """The further parts of a union, flat."""
+    return [x for every, u in q.unions for x in ((every, u), *_unions(u))]
+
+
+def _mentions(q: A.Select, name: str) -> bool:
+    def there(t) -> bool:
+        if isinstance(t, A.Join):
+            return there(t.left) or there(t.right)
+        if not isinstance(t, A.Table):
+            return False
+        return _mentions(t.query, name) if t.query is not None else t.ref.steps[0].id == name
+
+    return there(q.source)
+
+
+def _merged(q: A.Select, rest: A.Select | None) -> A.Select:
+    """A query with what the brackets of its source say besides a filter."""
+    if rest is None:
+        return q
+    q = copy.copy(q)
+    q.group, q.order, q.search = q.group or rest.group, q.order or rest.order, q.search or rest.search
+    q.having = A.Bin("and", rest.having, q.having) if rest.having is not None and q.having is not None else q.having if rest.having is None else rest.having
+    q.limit = min((x for x in (q.limit, rest.limit) if x is not None), default=None)
+    q.offset = q.offset or rest.offset
+    return q
 
 
 def _terms(text: str) -> list[str]:
@@ -1101,3 +1280,6 @@ def _has_aggregate(e) -> bool:
     if isinstance(e, A.In):
         return _has_aggregate(e.arg)
     return False
+
+
+from .recursion import recursed  # noqa: E402  (it needs the classes above)

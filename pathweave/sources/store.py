@@ -98,13 +98,16 @@ class Store:
 
         self._write(change)
 
-    def append(self, name: str, df: DataFrame) -> None:
+    def append(self, name: str, df: DataFrame) -> str:
+        """Adds rows; the folder they are in."""
+        path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
+
         def change(s):
-            path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
             df.write.parquet(path)
             s["tables"][name]["folders"].append(path)
 
         self._write(change)
+        return path
 
     def replace(self, name: str, df: DataFrame) -> None:
         def change(s):

@@ -113,5 +113,6 @@ def test_display_tree(spark):
     assert [(r.ID, r.drill_state) for r in top] == [(20, "leaf"), (10, "expanded"), (12, "collapsed"), (11, "leaf")]
     shut = T.top_levels(h, None, collapsed=F.col("ID") == 12).orderBy("limited_rank").collect()
     assert [(r.ID, r.drill_state) for r in shut] == [(20, "leaf"), (10, "expanded"), (12, "collapsed"), (11, "leaf")]
+    assert sorted((r.ID, r.distance) for r in T.ancestors(h, F.col("ID").isin(13, 12)).collect()) == [(10, -2), (12, -1), (13, 0)]
     assert sorted((r.ID, r.distance) for r in T.ancestors(h, F.col("ID") == 13).collect()) == [(10, -2), (12, -1), (13, 0)]
     assert sorted((r.ID, r.distance) for r in T.descendants(h, F.col("ID") == 10, 1, 1).collect()) == [(11, 1), (12, 1)]
