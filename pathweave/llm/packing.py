@@ -3,8 +3,8 @@
 Method: mixture-controlled packing. Each shard of the corpus holds a queue per source. Deficit round-robin over the queues fills one window of
 containers after another to the target token proportions; what a source got too little of in one window it gets in the next,
 and what it got too little of in the shards before comes in as a deficit from a prefix sum over shards, so proportions hold across
-partitions as well. Within a window, best fit places the largest items first; containers that stay too empty are
-opened again with the next window. Texts longer than a container fill whole ones, and their rest is an item; the whole ones wait in
+partitions as well. Best fit places the largest items of several windows first; of the containers that are full, a choice that keeps the proportions comes out, and
+the rest is packed again with the next window. Texts longer than a container fill whole ones, and their rest is an item; the whole ones wait in
 the queue of their source and are charged to it like other items.
 """
 
@@ -14,6 +14,7 @@ from bisect import bisect_left, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,6 +26,8 @@ from .bpe import TOKENIZERS, loaded, vocabulary
 
 #: Most rows of a shard, on average.
 SHARD_ROWS = 300_000
+#: Windows of texts that are packed at a time, of which the containers of one come out; free share up to which a container may be among them.
+WIDE, GIVE_UP = 4, 0.1
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str) -> DataFrame:
@@ -57,62 +60,85 @@ def fill(sizes: list[int], capacity: int) -> list[list[int]]:
     return boxes
 
 
-def pack_shard(items: list[tuple], shares: dict, carried: dict, capacity: int, window: int, tolerance: float) -> Iterator[tuple[int, list[tuple]]]:
+def pack_shard(items: list[tuple], shares: dict, carried: dict, capacity: int, window: int) -> Iterator[tuple[int, list[tuple]]]:
     """(container, [(id, part, start, tokens)]) of one shard; items are (id, source, tokens) in their order.
 
-    Every window takes its budget of tokens off the sources' queues by deficit round-robin; containers emptier than the tolerance go back.
+    A source is owed its share of all tokens of the containers so far and of the next windows, less what it got in containers that are out. Its texts are taken in
+    order while they are within that, for WIDE windows, and best fit packs them. Of the containers that are full enough those of one window come out, in an order that keeps the
+    mixture near the shares all along; the texts of the others come first again and aren't charged. The last windows of a shard come out whole.
     """
     number = 0
     empty: list[tuple] = []
-    queues: dict = defaultdict(deque)
+    lists: dict = defaultdict(list)
     for ident, source, tokens in items:
         whole, rest = divmod(tokens, capacity) if tokens > capacity else (0, tokens)
-        if whole:
-            queues[source].extend((ident, part, part * capacity, capacity) for part in range(whole))
+        lists[source].extend((ident, part, part * capacity, capacity, source) for part in range(whole))
         if rest:
-            queues[source].append((ident, whole, whole * capacity, rest))
+            lists[source].append((ident, whole, whole * capacity, rest, source))
         elif not whole:
-            empty.append((ident, 0, 0, 0))
+            empty.append((ident, 0, 0, 0, source))
+    queues = {s: deque(x) for s, x in lists.items() if x}
     if empty and not queues:
         # texts without tokens take no space
-        yield 0, empty
-    budget = capacity * window
-    deficit = {s: carried.get(s, 0.0) for s in queues}
-    back: list[tuple] = []
-    while True:
-        taken, total = back, sum(x[3] for x in back)
-        grant = float(budget - total)
-        while total < budget and any(queues.values()):
-            live = {s: shares.get(s, 0.0) for s in queues if queues[s]}
-            scale = sum(live.values())
-            weight = {s: live[s] / scale if scale else 1 / len(live) for s in live}
-            for s in sorted(live, key=lambda s: (-deficit[s], str(s))):
-                deficit[s] += grant * weight[s]
-                while queues[s] and total < budget and queues[s][0][3] <= deficit[s]:
-                    x = queues[s].popleft()
-                    deficit[s] -= x[3]
-                    total += x[3]
-                    taken.append(x)
-            # the rounds in which no source could take its next text, at once
-            short = [(queues[s][0][3] - deficit[s]) / weight[s] for s in weight if queues[s] and weight[s] > 0]
-            grant = max(1.0, min(short)) if short else 1.0
-        last = not any(queues.values())
+        yield 0, [x[:4] for x in empty]
+    budget = WIDE * capacity * window
+    owed = {s: carried.get(s, 0.0) for s in queues}
+    known = sum(shares.get(s, 0.0) for s in queues)
+    target = {s: shares.get(s, 0.0) / known if known else 1 / len(queues) for s in queues}
+    ahead = np.zeros(len(target))
+    while any(queues.values()):
+        live = {s: shares.get(s, 0.0) for s in queues if queues[s]}
+        scale = sum(live.values())
+        grant = budget - sum(owed[s] for s in live)
+        for s in live:
+            owed[s] += grant * (live[s] / scale if scale else 1 / len(live))
+        taken: list[tuple] = []
+
+        def take(s, x) -> None:
+            owed[s] -= x[3]
+            taken.append(x)
+
+        for s in sorted(live, key=lambda s: (-owed[s], str(s))):
+            while queues[s] and queues[s][0][3] <= owed[s]:
+                take(s, queues[s].popleft())
+        if not taken:
+            s = max(sorted(live, key=str), key=owed.__getitem__)
+            take(s, queues[s].popleft())
         boxes = fill([x[3] for x in taken], capacity)
-        boxes.sort(key=lambda b: -sum(taken[i][3] for i in b))
-        back = []
-        for k, b in enumerate(boxes):
-            free = capacity - sum(taken[i][3] for i in b)
-            if last or k < len(boxes) // 2 or free <= tolerance * capacity:
-                yield number, [*empty, *(taken[i] for i in b)]
-                empty = []
-                number += 1
-            else:
-                back += [taken[i] for i in b]
-        if last and not back:
-            return
-
-
-def pack(sizes: DataFrame, kind: str, capacity: int, shares: dict | None = None, shard_tokens: int = 8_000_000, window: int = 64, tolerance: float = 0.01) -> DataFrame:
+        loads = [sum(taken[i][3] for i in b) for b in boxes]
+        last = not any(queues.values())
+        order = sorted(range(len(boxes)), key=lambda k: (-loads[k], k))
+        fit = order if last else [k for at, k in enumerate(order) if at < window // 2 or capacity - loads[k] <= GIVE_UP * capacity]
+        out = []
+        for k in _evenly([[taken[i] for i in boxes[k]] for k in fit], target, ahead, len(fit) if last else window):
+            out.append(fit[k])
+            yield number, [x[:4] for x in (*empty, *(taken[i] for i in boxes[fit[k]]))]
+            empty = []
+            number += 1
+        for k in sorted(set(order) - set(out), reverse=True):
+            for i in reversed(boxes[k]):
+                owed[taken[i][4]] += taken[i][3]
+                queues[taken[i][4]].appendleft(taken[i])
+
+
+def _evenly(boxes: list[list[tuple]], target: dict, ahead: np.ndarray, most: int) -> Iterator[int]:
+    """Positions of at most so many containers in an order that keeps the sum of each source near its share all along; ``ahead`` (by source, changed) is what each has too much."""
+    place = {s: i for i, s in enumerate(target)}
+    share = np.array(list(target.values()))
+    held = np.zeros((len(boxes), len(place)))
+    for k, b in enumerate(boxes):
+        for x in b:
+            held[k, place[x[4]]] += x[3]
+    gain = held - held.sum(axis=1, keepdims=True) * share
+    left = np.ones(len(boxes), dtype=bool)
+    for _ in boxes[:most]:
+        k = int(np.where(left, ((ahead + gain) ** 2).sum(axis=1), np.inf).argmin())
+        ahead += gain[k]
+        left[k] = False
+        yield k
+
+
+def pack(sizes: DataFrame, kind: str, capacity: int, shares: dict | None = None, shard_tokens: int = 8_000_000, window: int = 64) -> DataFrame:
     """(kind, container, id, part, start, tokens): every row of ``sizes`` (id, source, tokens) lies in containers of ``capacity``.
 
     A text that fits is never split; a longer one fills ``tokens // capacity`` containers of its own, its rest is packed like others. All parts count for the mixture of the windows. Texts
@@ -156,7 +182,7 @@ def pack(sizes: DataFrame, kind: str, capacity: int, shares: dict | None = None,
         body = body.iloc[pd.util.hash_pandas_object(body["id"], index=False).argsort(kind="stable")]
         items = list(zip(body["id"], [name(s) for s in body["source"]], body["tokens"].astype(int)))
         shard = int(group["shard"].iloc[0])
-        out = [(kind, f"{kind}-{shard}-{c}", i, p, start, n) for c, xs in pack_shard(items, share, carried, capacity, window, tolerance) for i, p, start, n in xs]
+        out = [(kind, f"{kind}-{shard}-{c}", i, p, start, n) for c, xs in pack_shard(items, share, carried, capacity, window) for i, p, start, n in xs]
         return pd.DataFrame(out, columns=["kind", "container", "id", "part", "start", "tokens"])
 
     return rows.groupBy("shard").applyInPandas(run, f"kind string, container string, id {id_type}, part int, start bigint, tokens bigint")
@@ -178,6 +204,33 @@ def pack_all(docs: DataFrame, capacities: DataFrame, id_col: str = "doc_id", tex
     return out.withColumnRenamed("id", id_col)
 
 
+def mixture(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", window: int = 64) -> DataFrame:
+    """(kind, shard, window, source, share, target): what each source has of the tokens of every ``window`` containers in a row, and of all tokens."""
+    place = F.split("container", "-")
+    placed = packed.select("kind", F.element_at(place, -2).cast("bigint").alias("shard"), F.floor(F.element_at(place, -1).cast("bigint") / window).alias("window"), id_col, "tokens")
+    sums = placed.join(docs.select(id_col, source_col).distinct(), id_col, "left").groupBy("kind", "shard", "window", source_col).agg(F.sum("tokens").alias("own"))
+    sums = written(sums, "mixture")  # a row per window and source
+    all_ = sums.groupBy("kind").agg(F.sum("own").alias("all"))
+    of = sums.groupBy("kind", F.col(source_col).alias("__s")).agg(F.sum("own").alias("of")).join(all_, "kind").select("kind", "__s", (F.col("of") / F.greatest("all", F.lit(1))).alias("target"))
+    windows = sums.groupBy("kind", "shard", "window").agg(F.sum("own").alias("held"))
+    every = windows.join(of, "kind")
+    own = sums.withColumnRenamed(source_col, "__s2")
+    met = every.join(own, (every["kind"] == own["kind"]) & (every["shard"] == own["shard"]) & (every["window"] == own["window"]) & every["__s"].eqNullSafe(own["__s2"]), "left")
+    return met.select(every["kind"], every["shard"], every["window"], F.col("__s").alias(source_col), (F.coalesce("own", F.lit(0)) / F.greatest("held", F.lit(1))).alias("share"), "target")
+
+
+def faults(packed: DataFrame, sizes: DataFrame, capacities: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(kind, what, id): texts of ``sizes`` (id, kind, tokens) that are missing, placed with other than their tokens or split though they fit, and containers that hold too much. None, if all is well."""
+    caps = capacities.select("kind", "capacity_tokens").distinct()
+    got = packed.groupBy("kind", F.col(id_col).alias("id")).agg(F.sum("tokens").alias("got"), F.count(F.lit(1)).alias("parts"))
+    both = sizes.groupBy("kind", "id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("times")).join(got, ["kind", "id"], "full").join(caps, "kind")
+    what = F.when(F.col("got").isNull(), "missing").when(F.col("tokens").isNull() | (F.col("got") != F.col("tokens")), "changed")
+    what = what.when((F.col("times") == 1) & (F.col("tokens") <= F.col("capacity_tokens")) & (F.col("parts") > 1), "split")
+    texts = both.select("kind", what.alias("what"), F.col("id").cast("string").alias("id")).where("what is not null")
+    full = packed.groupBy("kind", "container").agg(F.sum("tokens").alias("held")).join(caps, "kind").where(F.col("held") > F.col("capacity_tokens"))
+    return texts.unionByName(full.select("kind", F.lit("too much").alias("what"), F.col("container").alias("id")))
+
+
 def use(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     """(kind, containers, used, unused, fill) of a packing."""
     n = packed.groupBy("kind").agg(F.count_distinct("container").alias("containers"), F.sum("tokens").alias("used"))

@@ -73,23 +73,50 @@ def p7_use(spark, d):
     return packing.use(packing.pack_all(_t(spark, d, "documents"), caps), caps)
 
 
+def p7_mix(spark, d):
+    """The largest distance of a source's share from its target in 64 containers in a row, by kind; the last windows of a shard aside, where sources run out."""
+    docs, caps = _t(spark, d, "documents"), _t(spark, d, "capacities")
+    m = packing.mixture(packing.pack_all(docs, caps), docs)
+    ends = m.groupBy("kind", "shard").agg(F.max("window").alias("last"))
+    inner = m.join(ends, ["kind", "shard"]).where(F.col("window") < F.col("last") - packing.WIDE)
+    return inner.groupBy("kind").agg(F.max(F.abs(F.col("share") - F.col("target"))).alias("off"), F.count_distinct("shard", "window").alias("windows"))
+
+
+def p7_check(spark, d):
+    docs, caps = _t(spark, d, "documents"), _t(spark, d, "capacities")
+    sizes = None
+    for name in sorted({r.tokenizer for r in caps.select("tokenizer").distinct().collect()}):  # a few names
+        kinds = caps.where(F.col("tokenizer") == name).select("kind").distinct()
+        own = packing.token_counts(docs, "doc_id", "text", "source", bpe.vocabulary(name)).select("id", "tokens").crossJoin(kinds)  # a row per capacity
+        sizes = own if sizes is None else sizes.unionByName(own)
+    return packing.faults(packing.pack_all(docs, caps), sizes, caps)
+
+
 def p8_found(spark, d):
-    return repetition.repetition(_t(spark, d, "documents"), "doc_id", "text").where("share >= 0.5").select("doc_id")
+    return repetition.repetition(_t(spark, d, "documents"), "doc_id", "text").where("band = 'repetitive' and share >= 0.5").select("doc_id")
+
+
+def p8_share(spark, d):
+    return repetition.repetition(_t(spark, d, "documents"), "doc_id", "text").select("doc_id", "n_words", "share")
 
 
 def p8_bands(spark, d):
     return repetition.repetition(_t(spark, d, "documents"), "doc_id", "text").select("doc_id", "n_words", "ratio", "chunk_ratio", "raw_ratio", "band", "share")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p4_found, p6_ids, p6_round_trip, p7_packing, p7_use, p8_found, p8_bands)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p4_found, p6_ids, p6_round_trip, p7_packing, p7_use, p7_mix, p7_check, p8_found, p8_share, p8_bands)}
 
-ORACLE = {
-    "p6_round_trip": "select doc_id from documents where text is null",
-    # words lower-cased, passages of six by position, those that occur four times, and the positions they cover
-    "p8_found": r"""with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents where text is not null),
+# words lower-cased, passages of six by position, those that occur four times, and the positions they cover
+_COVER = r"""w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents),
     g as (select doc_id, unnest(range(1, len(ws) - 4)) as pos, ws from w where len(ws) >= 6),
     k as (select doc_id, pos, ws[pos:pos + 5] as gram from g),
     many as (select doc_id, gram from k group by all having count(*) >= 4),
-    cover as (select distinct k.doc_id, unnest(range(k.pos, k.pos + 6)) as at_word from k join many m on m.doc_id = k.doc_id and m.gram = k.gram)
-    select c.doc_id from cover c join w on w.doc_id = c.doc_id group by c.doc_id, len(w.ws) having count(*) * 2 >= len(w.ws)""",
+    cover as (select distinct k.doc_id, unnest(range(k.pos, k.pos + 6)) as at_word from k join many m on m.doc_id = k.doc_id and m.gram = k.gram),
+    n as (select doc_id, count(*) as covered from cover group by doc_id)"""
+
+ORACLE = {
+    "p6_round_trip": "select doc_id from documents where text is null",
+    "p7_check": "select '' as kind, '' as what, '' as id where false",
+    "p8_found": f"with {_COVER} select w.doc_id from w join n on n.doc_id = w.doc_id where covered * 2 >= len(ws)",
+    "p8_share": f"with {_COVER} select w.doc_id, coalesce(len(ws), 0) as n_words, coalesce(covered / len(ws), 0.0) as share from w left join n on n.doc_id = w.doc_id",
 }

@@ -4,9 +4,10 @@ Method: compression bands. A document's words become codes of four bytes each, s
 the codes of the whole document and of fixed chunks. A ratio below the limit for that length means repetition. The same is done to the
 raw bytes to tell incompressible text.
 
-The share of repeated content is measured exactly in every band: in long runs without matches zstandard leaves positions out of its index and
-misses copies of them, so that a high ratio doesn't mean that nothing is repeated. A document of which at least half is repeated
-is in the repetitive band whatever its ratios.
+The limit for n words comes from the passages that are looked for: if half of the words lie in passages of ``size`` words that occur ``times`` times, that half
+takes one copy and a match for each other one, the rest at most its own size. A fast level finds most repetition; since it leaves positions out of its index
+where a long run has no match, texts that it finds too little in are compressed again at a level that indexes every position.
+The share of repeated content is then measured exactly.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-#: Limits of the ratio of word codes by number of words: up to so many words, repetitive below that ratio.
-REPETITIVE = ((64, 0.85), (256, 0.78), (float("inf"), 0.74))
+#: Bytes that a match takes at most, bytes that a text takes besides, and the slack of the limit.
+MATCH, BESIDE, SLACK = 6.0, 20.0, 0.02
 #: Limits of the ratio of raw bytes by number of bytes: up to so many bytes, incompressible above that ratio.
 INCOMPRESSIBLE = ((128, 1.2), (1024, 0.95), (float("inf"), 0.9))
 CHUNK = 1024
-LEVEL, RAW_LEVEL = 9, 3
+LEVEL, EXACT_LEVEL, RAW_LEVEL = 9, 16, 3
+#: Words of a run without matches up to which the fast level indexes every position.
+INDEXED = 64
 
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -34,10 +37,17 @@ def limit(table, n: int) -> float:
     return next(v for most, v in table if n <= most)
 
 
+def repetitive_limit(n: int, size: int = 6, times: int = 4) -> float:
+    """The ratio up to which n words may have half of them in passages of ``size`` words that occur ``times`` times."""
+    repeated = 1 / times + (1 - 1 / times) * min(1.0, MATCH / (4 * size))
+    return 0.5 + 0.5 * repeated + BESIDE / (4 * n) + SLACK
+
+
 def _ratio(data: bytes, level: int = LEVEL) -> float:
-    """Compressed by plain size; the window always spans all of the data."""
+    """Compressed by plain size; the window always spans all of the data, and at the exact level so does the index."""
     log = min(27, max(10, len(data).bit_length()))
-    params = zstandard.ZstdCompressionParameters.from_level(level, window_log=log, write_content_size=False, write_checksum=False, enable_ldm=len(data) > 1 << 22)
+    more = {"chain_log": log + 1, "hash_log": log} if level == EXACT_LEVEL else {"enable_ldm": len(data) > 1 << 22}
+    params = zstandard.ZstdCompressionParameters.from_level(level, window_log=log, write_content_size=False, write_checksum=False, **more)
     return len(zstandard.ZstdCompressor(compression_params=params).compress(data)) / len(data)
 
 
@@ -81,19 +91,23 @@ def measure(text: str | None, size: int = 6, times: int = 4) -> tuple:
     raw = text.encode("utf-8", "surrogatepass") if text else b""
     if not words:
         return 0, None, None, _ratio(raw, RAW_LEVEL) if raw else None, "empty", 0.0
+    n = len(words)
     codes: dict[str, int] = {}
     seq = [codes.setdefault(w, len(codes)) for w in words]
     table = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in codes), dtype=np.uint32, count=len(codes))
     stream = table[seq].tobytes()
+    most = repetitive_limit(n, size, times)
     ratio = _ratio(stream)
-    chunks = [ratio] if len(words) <= CHUNK else [_ratio(stream[i : i + 4 * CHUNK]) for i in range(0, len(stream), 4 * CHUNK)]
+    if ratio > most and n > INDEXED:
+        ratio = min(ratio, _ratio(stream, EXACT_LEVEL))
+    chunks = [ratio] if n <= CHUNK else [_ratio(stream[i : i + 4 * CHUNK]) for i in range(0, len(stream), 4 * CHUNK)]
     raw_ratio = _ratio(raw, RAW_LEVEL)
-    share = repeated_share(seq, size, times)
-    if share >= 0.5 or ratio <= limit(REPETITIVE, len(words)) or min(chunks) <= limit(REPETITIVE, min(len(words), CHUNK)):
+    # fewer words can't hold a passage that often
+    if n >= size + times - 1 and (ratio <= most or min(chunks) <= repetitive_limit(min(n, CHUNK), size, times)):
         band = "repetitive"
     else:
         band = "incompressible" if raw_ratio > limit(INCOMPRESSIBLE, len(raw)) else "normal"
-    return len(words), ratio, min(chunks), raw_ratio, band, share
+    return n, ratio, min(chunks), raw_ratio, band, repeated_share(seq, size, times)
 
 
 def repetition(docs: DataFrame, id_col: str, text_col: str, size: int = 6, times: int = 4) -> DataFrame:

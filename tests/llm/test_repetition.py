@@ -38,7 +38,20 @@ def test_the_bands_drop_no_case():
             rng.shuffle(parts)
             words = [w for p in parts for w in p]
             m = R.measure(" ".join(words))
-            assert abs(m[5] - brute(words)) < 1e-12, (n, m)
+            assert m[4] == "repetitive" and abs(m[5] - brute(words)) < 1e-12, (n, m)
+
+
+def test_the_limits_follow_the_passages():
+    rng = random.Random(8)
+    for size, times in ((4, 3), (8, 4), (12, 6), (5, 10)):
+        for n in (2 * size * times, 300, 3000):
+            k = -(-n // (2 * size * times))
+            parts = [[str(rng.random())[2:] for _ in range(size)] for _ in range(k)] * times
+            parts += [[str(rng.random())[2:]] for _ in range(max(0, n - size * times * k))]
+            rng.shuffle(parts)
+            words = [w for p in parts for w in p]
+            m = R.measure(" ".join(words), size, times)
+            assert m[4] == "repetitive" and abs(m[5] - brute(words, size, times)) < 1e-12, (size, times, n, m)
 
 
 def test_long_texts_whose_unique_half_comes_first():
