@@ -2,8 +2,8 @@
 
 Method: mixture-controlled packing. Each shard of the corpus holds a queue per source. Deficit round-robin over the queues fills one window of
 containers after another to the target token proportions; what a source got too little of in one window it gets in the next,
-and what it got too little of in the shards before comes in as a deficit from a prefix sum over shards, so proportions hold across
-partitions as well. Best fit places the largest items of several windows first; of the containers that are full, a choice that keeps the proportions comes out, and
+and what it got too little of in the shards before comes in as a deficit from a prefix sum over shards, made good evenly over the windows of the shard, so
+proportions hold across partitions as well. Best fit places the largest items of several windows first; of the containers that are full, a choice that keeps the proportions comes out, and
 the rest is packed again with the next window. Texts longer than a container fill whole ones, and their rest is an item; the whole ones wait in
 the queue of their source and are charged to it like other items.
 """
@@ -82,13 +82,19 @@ def pack_shard(items: list[tuple], shares: dict, carried: dict, capacity: int, w
         # texts without tokens take no space
         yield 0, [x[:4] for x in empty]
     budget = WIDE * capacity * window
-    owed = {s: carried.get(s, 0.0) for s in queues}
+    # what the shards before left is made good evenly over this one, so that no window is far off
+    part = min(1.0, capacity * window / max(1, sum(x[3] for q in queues.values() for x in q)))
+    repay = {s: part * carried.get(s, 0.0) for s in queues}
+    owed = dict.fromkeys(queues, 0.0)
     known = sum(shares.get(s, 0.0) for s in queues)
     target = {s: shares.get(s, 0.0) / known if known else 1 / len(queues) for s in queues}
     ahead = np.zeros(len(target))
     while any(queues.values()):
         live = {s: shares.get(s, 0.0) for s in queues if queues[s]}
         scale = sum(live.values())
+        for n, s in enumerate(target):
+            owed[s] += repay[s]
+            ahead[n] -= repay[s]
         grant = budget - sum(owed[s] for s in live)
         for s in live:
             owed[s] += grant * (live[s] / scale if scale else 1 / len(live))
@@ -210,13 +216,12 @@ def mixture(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", source_c
     placed = packed.select("kind", F.element_at(place, -2).cast("bigint").alias("shard"), F.floor(F.element_at(place, -1).cast("bigint") / window).alias("window"), id_col, "tokens")
     sums = placed.join(docs.select(id_col, source_col).distinct(), id_col, "left").groupBy("kind", "shard", "window", source_col).agg(F.sum("tokens").alias("own"))
     sums = written(sums, "mixture")  # a row per window and source
-    all_ = sums.groupBy("kind").agg(F.sum("own").alias("all"))
-    of = sums.groupBy("kind", F.col(source_col).alias("__s")).agg(F.sum("own").alias("of")).join(all_, "kind").select("kind", "__s", (F.col("of") / F.greatest("all", F.lit(1))).alias("target"))
+    keyed = sums.withColumn("s", F.struct(F.col(source_col).alias("source")))  # a null source is one of its own
+    of = keyed.groupBy("kind", "s").agg(F.sum("own").alias("of")).join(sums.groupBy("kind").agg(F.sum("own").alias("all")), "kind")
+    of = of.select("kind", "s", (F.col("of") / F.greatest("all", F.lit(1))).alias("target"))
     windows = sums.groupBy("kind", "shard", "window").agg(F.sum("own").alias("held"))
-    every = windows.join(of, "kind")
-    own = sums.withColumnRenamed(source_col, "__s2")
-    met = every.join(own, (every["kind"] == own["kind"]) & (every["shard"] == own["shard"]) & (every["window"] == own["window"]) & every["__s"].eqNullSafe(own["__s2"]), "left")
-    return met.select(every["kind"], every["shard"], every["window"], F.col("__s").alias(source_col), (F.coalesce("own", F.lit(0)) / F.greatest("held", F.lit(1))).alias("share"), "target")
+    met = windows.join(of, "kind").join(keyed.select("kind", "shard", "window", "s", "own"), ["kind", "shard", "window", "s"], "left")
+    return met.select("kind", "shard", "window", F.col("s.source").alias(source_col), (F.coalesce("own", F.lit(0)) / F.greatest("held", F.lit(1))).alias("share"), "target")
 
 
 def faults(packed: DataFrame, sizes: DataFrame, capacities: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -87,10 +87,12 @@ def test_mixture_of_many_sizes_and_no_faults(spark):
     assert {r.what for r in P.faults(packed, sizes, caps.selectExpr("kind", "200 as capacity_tokens")).collect()} == {"too much"}
 
 
-def test_deficits_carry_over():
+def test_deficits_carry_over_and_are_made_good_evenly():
     items = [(i, "a" if i < 500 else "b", 10) for i in range(1000)]
-    first = next(b for _, b in P.pack_shard(items, {"a": 0.5, "b": 0.5}, {"b": 400.0, "a": -400.0}, 100, 1))
-    assert all(i >= 500 for i, *_ in first)
+    boxes = [b for _, b in P.pack_shard(items, {"a": 0.5, "b": 0.5}, {"b": 400.0, "a": -400.0}, 100, 4)]
+    for n in (20, 40, 60, 80):
+        got = sum(10 for b in boxes[:n] for i, *_ in b if i >= 500)
+        assert abs(got - (50 * n + 4 * n)) <= 20, (n, got)
 
 
 def test_edges(spark):
