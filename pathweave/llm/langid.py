@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled sample: rows per language from which dictionaries are built, and bytes of a dictionary.
 SAMPLE_ROWS, DICTIONARY = 500, 96_000
-LEVEL, FIT_LEVEL = 16, 9
+#: Compression levels for texts and for the sample: higher ones tell the same languages and take up to five times as long; lower ones for the sample let wrong sentences in.
+LEVEL, FIT_LEVEL = 3, 9
 #: Rounds of cleaning the sample, and the share of its bytes by which a sentence must be smaller than in the next language to stay in.
 ROUNDS, CLEAR = 2, 0.1
-#: Bytes that a change of language costs, and the least margin in bytes between the best language and the next.
-CHANGE, MARGIN = 4.0, 1.0
+#: Bytes that a change of language costs. The least margin to the next language, as a share of a segment's bytes, is half of what all but LOWEST of the
+#: held-out sentences have that are in the language of their label; MARGIN where there are none.
+CHANGE, MARGIN, LOWEST = 4.0, 0.05, 0.01
 
 #: Precedes everything that is compressed: it makes each block compressible, else zstandard would store short ones as they are.
 _FILL = bytes(64)
@@ -58,11 +60,18 @@ def plain(sentence: str) -> bytes:
     return f" {s} ".encode("utf-8", "replace") if s else b""
 
 
+class Dictionaries(dict):
+    """Dictionaries by language, and the least margin by which the best language must be ahead of the next."""
+
+    margin: float = MARGIN
+
+
 class Languages:
     """A compressor for each language."""
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
         self.codes = sorted(dictionaries)
+        self.margin = getattr(dictionaries, "margin", MARGIN)
         self.coders = []
         for code in self.codes:
             d = zstandard.ZstdCompressionDict(dictionaries[code], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -74,25 +83,26 @@ class Languages:
         data = _FILL + data
         return [len(c(data)) for c in self.coders]
 
-    def best(self, data: bytes, margin: float = MARGIN) -> str | None:
+    def best(self, data: bytes, margin: float = 1.0) -> str | None:
         s = self.sizes(data)
         if len(s) == 1:
             return self.codes[0]
         first, second = sorted(range(len(s)), key=s.__getitem__)[:2]
         return self.codes[first] if s[second] - s[first] >= margin else None
 
-    def tag(self, parts: Sequence[str]) -> list[tuple[str | None, float]]:
-        """(language, confidence) of each sentence; (None, 0) for those without words.
+    def tag(self, parts: Sequence[str]) -> list[tuple[str | None, float | None]]:
+        """(language, confidence) of each sentence; (None, None) for those without words, (None, confidence) for those that are rejected.
 
-        The cheapest sequence of languages: what the encodings take, and CHANGE bytes for every change.
+        The cheapest sequence of languages: what the encodings take, and CHANGE bytes for every change. A run of sentences in one language is
+        rejected if it isn't ahead of the next language by the margin, a share of its bytes.
         """
-        sized = [(i, self.sizes(d)) for i, p in enumerate(parts) if (d := plain(p))]
-        out: list[tuple[str | None, float]] = [(None, 0.0)] * len(parts)
+        sized = [(i, self.sizes(d), len(d)) for i, p in enumerate(parts) if (d := plain(p))]
+        out: list[tuple[str | None, float | None]] = [(None, None)] * len(parts)
         if not sized:
             return out
         k = len(self.codes)
         cost, back = list(map(float, sized[0][1])), []
-        for _, s in sized[1:]:
+        for _, s, _ in sized[1:]:
             low = min(range(k), key=cost.__getitem__)
             step = [low if cost[low] + CHANGE < cost[j] else j for j in range(k)]
             cost = [cost[step[j]] + (CHANGE if step[j] != j else 0) + s[j] for j in range(k)]
@@ -112,28 +122,29 @@ class Languages:
             sums = [sum(sized[i][1][j] for i in range(lo, hi)) for j in range(k)]
             own = sums[line[lo]]
             rest = min((v for j, v in enumerate(sums) if j != line[lo]), default=own * 2)
+            clear = k == 1 or rest - own >= self.margin * sum(sized[i][2] for i in range(lo, hi))
             for i in range(lo, hi):
-                out[sized[i][0]] = (self.codes[line[lo]] if rest - own >= MARGIN else None, max(0.0, 1 - own / rest))
+                out[sized[i][0]] = (self.codes[line[lo]] if clear else None, max(0.0, 1 - own / rest))
             lo = hi
         return out
 
     def segments(self, text: str | None) -> list[tuple[int, int, str | None, float, str]]:
         """(number, first sentence, language, confidence, text) of each segment, the longest runs of sentences in one language.
 
-        Sentences without words or language belong to the segment before them, or to the next one at the start.
+        Sentences without words belong to the segment before them, or to the next one at the start. What is rejected is a segment of its own, without language.
         """
         parts = sentences(text)
         tags = self.tag(parts)
         out: list[list] = []
         for n, (p, (lang, conf)) in enumerate(zip(parts, tags), 1):
-            if out and (lang is None or out[-1][2] == lang or out[-1][2] is None):
+            if out and (conf is None or out[-1][3] is None or out[-1][2] == lang):
                 seg = out[-1]
-                seg[3] = max(seg[3], conf)
+                seg[3] = conf if seg[3] is None else seg[3] if conf is None else max(seg[3], conf)
                 seg[2] = seg[2] or lang
                 seg[4] += " " + p
             else:
                 out.append([len(out) + 1, n, lang, conf, p])
-        return [tuple(s) for s in out]
+        return [(no, n, lang, conf or 0.0, text) for no, n, lang, conf, text in out]
 
 
 def locale_code(locale: Column, locales: Sequence[tuple[str, str]]) -> Column:
@@ -174,7 +185,8 @@ def _cleaned(by: dict[str, list[list[bytes]]], kept: dict[str, list[list[bytes]]
 def fit(rows: DataFrame, text_col: str, lang_col: str, more: DataFrame | None = None, sample_rows: int = SAMPLE_ROWS, size: int = DICTIONARY) -> dict[str, bytes]:
     """Dictionaries by language from at most ``sample_rows`` labelled rows per language, and as many unlabelled ones of ``more`` (text_col).
 
-    The sample is bounded, so it may come to the driver. Null texts, texts without letters and null labels aren't taken.
+    The sample is bounded, so it may come to the driver. Null texts, texts without letters and null labels aren't taken. The margin for rejection
+    is taken from the held-out halves.
     """
     usable = "text is not null and text rlike '[a-zA-Z]'"
     labelled = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(usable).where("lang is not null")
@@ -193,8 +205,19 @@ def fit(rows: DataFrame, text_col: str, lang_col: str, more: DataFrame | None =
                 kept[code][n % 2] += parts
     for _ in range(ROUNDS):
         kept = _cleaned(by, kept, size)
-    out = {k: v[0] + v[1] for k, v in kept.items() if v[0] or v[1]}
-    return {k: _dictionary(v, size) for k, v in out.items()}
+    out = Dictionaries({k: _dictionary(v[0] + v[1], size) for k, v in kept.items() if v[0] or v[1]})
+    ahead = []  # by how much held-out sentences are ahead of the next language
+    for half in (0, 1):
+        other = Languages({k: _dictionary(v[1 - half], size) or b" " * 8 for k, v in kept.items()})
+        for lang, halves in kept.items():
+            for d in halves[half] if len(other.codes) > 1 else ():
+                s = other.sizes(d)
+                own = s[other.codes.index(lang)]
+                if own == min(s):
+                    ahead.append((sorted(s)[1] - own) / len(d))
+    if ahead:
+        out.margin = sorted(ahead)[int(LOWEST * len(ahead))] / 2
+    return out
 
 
 def segments(rows: DataFrame, id_col: str, text_col: str, dictionaries: dict[str, bytes]) -> DataFrame:

@@ -54,6 +54,18 @@ def test_mixed_texts_and_asides(model):
     assert m.segments("12 / 34")[0][2] is None
 
 
+def test_other_languages_are_rejected(model):
+    m = L.Languages(model)
+    assert 0 < m.margin < 0.3
+    assert [s[2] for s in m.segments("Kirja kertoo miehestä joka asui yksin saarella. Xqzt vrblk fnnp.")] == [None]
+    rng = random.Random(3)
+    known = [sentence(lang, rng) for lang in ("en", "de", "fr") for _ in range(40)]
+    assert sum(m.segments(s)[0][2] is None for s in known) <= 2
+    # what is rejected is a segment of its own; what has no words isn't
+    m.margin = 2.0
+    assert [(s[0], s[2]) for s in m.segments(known[0] + " 12. " + known[50])] == [(1, None), (2, None)] or [(s[0], s[2]) for s in m.segments(known[0] + " 12. " + known[50])] == [(1, None)]
+
+
 def test_locales(spark):
     df = spark.createDataFrame([(x,) for x in ["de", " DE-at ", "deu", "ENG", "xx", "", None, "en_GB", "1"]], "l string")
     assert [r[0] for r in df.select(L.locale_code(F.col("l"), [("de", "deu"), ("en", "eng")])).collect()] == ["de", "de", "de", "en", None, None, None, "en", None]
