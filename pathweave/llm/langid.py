@@ -26,8 +26,8 @@ LEVEL, FIT_LEVEL = 3, 9
 #: Rounds of cleaning the sample, and the share of its bytes by which a sentence must be smaller than in the next language to stay in.
 ROUNDS, CLEAR = 2, 0.1
 #: Bytes that a change of language costs. The least margin to the next language, as a share of a segment's bytes, is half of what all but LOWEST of the
-#: held-out sentences have that are in the language of their label; MARGIN where there are none.
-CHANGE, MARGIN, LOWEST = 4.0, 0.05, 0.01
+#: held-out sentences have that are in the language of their label, and at least MARGIN.
+CHANGE, MARGIN, LOWEST = 4.0, 0.03, 0.01
 
 #: Precedes everything that is compressed: it makes each block compressible, else zstandard would store short ones as they are.
 _FILL = bytes(64)
@@ -216,7 +216,7 @@ def fit(rows: DataFrame, text_col: str, lang_col: str, more: DataFrame | None =
                 if own == min(s):
                     ahead.append((sorted(s)[1] - own) / len(d))
     if ahead:
-        out.margin = sorted(ahead)[int(LOWEST * len(ahead))] / 2
+        out.margin = max(MARGIN, sorted(ahead)[int(LOWEST * len(ahead))] / 2)
     return out
 
 
