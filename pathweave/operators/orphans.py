@@ -2,7 +2,7 @@
 
 Method: parent and child keys in one long form, tagged; grouped by parent table and key, so that a key's group
 holds a flag for "has a row", "was deleted" and "is referred to". Groups lacking the parent, deleted ones and those that
-arrived after a child are kept; what is left of the children meets them in a salted join, and counts go by period.
+arrived after a child are kept; the children meet them in a join, salted where many refer to one key, and counts go by period.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from ..functions.keys import KeyKind
 from ..runtime import written
 
 
+#: References to one missing key that go to one task; a key with more is spread over as many copies as it takes.
+HOT = 200_000
+
+
 @dataclass(frozen=True)
 class Keyed:
     """A table of records: its name, rows, own key and how keys of the table are spelled."""
@@ -44,7 +48,7 @@ class Integrity:
     tables: Sequence[Keyed]
     references: Sequence[Reference]
     removals: DataFrame
-    salts: int = 16
+    hot: int = HOT
 
     def _number(self, tab: str) -> int:
         return next(i for i, t in enumerate(self.tables) if t.tab == tab)
@@ -81,7 +85,7 @@ class Integrity:
 
     @staticmethod
     def keys(long: DataFrame) -> DataFrame:
-        """(ptab, key, there, gone, since, wanted): one row per parent table and key."""
+        """(ptab, key, there, gone, since, wanted, refs): one row per parent table and key."""
         own = F.col("ref") == -1
         k = long.groupBy("ptab", "key").agg(
             F.max(own).alias("there"),
@@ -89,10 +93,11 @@ class Integrity:
             F.max(F.when(F.col("ref") == -2, F.col("at"))).alias("removed"),
             F.max(F.when(own, F.col("first"))).alias("since"),
             F.min(F.when(F.col("ref") >= 0, F.col("first"))).alias("wanted"),
+            F.count(F.when(F.col("ref") >= 0, 1)).alias("refs"),
         )
         # listed and not created after: deleted; listed without a row: deleted
         gone = F.col("removed").isNotNull() & (~F.col("there") | F.col("created").isNull() | (F.col("removed") >= F.col("created")))
-        return k.select("ptab", "key", "there", gone.alias("gone"), "since", "wanted")
+        return k.select("ptab", "key", "there", gone.alias("gone"), "since", "wanted", "refs")
 
     def found(self) -> DataFrame:
         """(tab, ym, ref_field, rec_key, reason): one row per record and field.
@@ -104,10 +109,17 @@ class Integrity:
         long = written(self.long_form(), "keys")
         # groups lacking their parent, or whose parent is deleted or may be late; and all deleted records
         flawed = written(self.keys(long).where("gone or (wanted is not null and (not there or since > wanted))"), "flawed")
-        bad = flawed.where("wanted is not null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
-        child = long.where("ref >= 0").select("ptab", "key", "ref", "rec_key", "first").withColumn("salt", F.pmod(F.hash("rec_key"), F.lit(self.salts)))
+        copies = F.ceil(F.col("refs") / self.hot).cast("int")
+        bad = flawed.where("wanted is not null")
+        child = long.where("ref >= 0").select("ptab", "key", "ref", "rec_key", "first")
+        by = ["ptab", "key"]
+        popular = bad.where(F.col("refs") > self.hot).select(*by, copies.alias("copies"))  # at most all references / hot rows
+        if not popular.isEmpty():
+            bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1)))
+            child = child.join(popular, by, "left").withColumn("salt", F.pmod(F.hash("rec_key"), F.coalesce("copies", F.lit(1)))).drop("copies")
+            by.append("salt")
         reason = F.when(F.col("gone"), "deleted").when(~F.col("there"), "missing").when(F.col("since") > F.col("first"), "late")
-        hits = child.join(bad, ["ptab", "key", "salt"]).select("ref", "rec_key", "first", reason.alias("reason")).where("reason is not null")
+        hits = child.join(bad, by).select("ref", "rec_key", "first", reason.alias("reason")).where("reason is not null")
         tabs = F.array(*[F.lit(self._number(r.child)).cast("tinyint") for r in self.references])
         dead = flawed.where("gone").select(F.col("ptab").alias("tab"), F.col("key").alias("rec_key"))
         alive = hits.withColumn("tab", F.get(tabs, F.col("ref").cast("int"))).join(dead, ["tab", "rec_key"], "left_anti")

@@ -13,12 +13,12 @@ def at(n):
     return DAY + dt.timedelta(days=n)
 
 
-def found(spark, parents, children, removals):
+def found(spark, parents, children, removals, **how):
     kind = "key string, ref string, createdAt timestamp, arrived_at timestamp, tab string"
     p = spark.createDataFrame([(*r, "x") for r in parents], kind)
     c = spark.createDataFrame([(*r, "x") for r in children], kind)
     rm = spark.createDataFrame(removals, "tab string, rec_key string, removed_at timestamp")
-    i = Integrity([Keyed("p", p, "key", UUID), Keyed("c", c, "key", NUMBER)], [Reference("c", "ref", "p")], rm)
+    i = Integrity([Keyed("p", p, "key", UUID), Keyed("c", c, "key", NUMBER)], [Reference("c", "ref", "p")], rm, **how)
     return i.found()
 
 
@@ -58,6 +58,12 @@ def test_one_missing_key_with_a_third_of_all_rows(spark):
     assert len(rows(found(spark, [(U, None, at(0), at(0))], children, []))) == 199
 
 
+def test_popular_keys_are_spread(spark):
+    children = [(str(i), ("F" * 32 if i % 3 else "E" * 32) if i % 7 else U, at(0), at(1)) for i in range(1, 300)]
+    want = rows(found(spark, [(U, None, at(0), at(0))], children, []))
+    assert len(want) > 200 and rows(found(spark, [(U, None, at(0), at(0))], children, [], hot=20)) == want
+
+
 def test_empty_tables(spark):
     assert rows(found(spark, [], [], [])) == []
     assert rows(found(spark, [], [("1", U, at(0), at(1))], [])) == [("1", "missing", "2024-03")]
