@@ -105,14 +105,23 @@ class Bpe:
 _LOADED: dict[str, Bpe] = {}
 
 
-def loaded(path: str) -> Bpe:
-    """The encoder of a vocabulary file, built once a worker process."""
+def read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def loaded(path: str, data: bytes | None = None) -> Bpe:
+    """The encoder of a vocabulary, built once a worker process; from the file unless its contents are given."""
     if path not in _LOADED:
-        with open(path, "rb") as f:
-            _LOADED[path] = Bpe(f.read())
+        _LOADED[path] = Bpe(read(path) if data is None else data)
     return _LOADED[path]
 
 
+def shipped(df: DataFrame, path: str):
+    """The vocabulary file, read on the driver and sent to the executors: a megabyte or so, whatever the texts."""
+    return df.sparkSession.sparkContext.broadcast(read(path))
+
+
 def vocabulary(name: str, folder: str = TOKENIZERS) -> str:
     return f"{folder}/{name}.tiktoken"
 
@@ -120,13 +129,14 @@ def vocabulary(name: str, folder: str = TOKENIZERS) -> str:
 def encode_texts(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     """(id, ids): the token ids of each text, one row per row; null and empty texts give an empty list.
 
-    Rows, repeated ones included, are taken as they come; a null id stays null. path must be readable on all executors. The
+    Rows, repeated ones included, are taken as they come; a null id stays null. path is read on the driver and sent to the executors. The
     rows don't leave their partition. Other columns aren't read, whatever their names.
     """
     kind = docs.select(id_col).schema[0]
+    words = shipped(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = loaded(path).encode
+        encode = loaded(path, words.value).encode
         for batch in batches:
             offsets, flat = [0], []
             for text in batch.column(1):
@@ -141,9 +151,10 @@ def encode_texts(docs: DataFrame, id_col: str, text_col: str, path: str) -> Data
 def decode_ids(encoded: DataFrame, id_col: str, path: str) -> DataFrame:
     """(id, text): the texts again; null and empty texts both come back empty."""
     kind = encoded.select(id_col).schema[0]
+    words = shipped(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = loaded(path).decode
+        decode = loaded(path, words.value).decode
         for batch in batches:
             texts = pa.array([decode(ids) for ids in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], [id_col, "text"])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import written
-from .bpe import TOKENIZERS, loaded, vocabulary
+from .bpe import TOKENIZERS, loaded, shipped, vocabulary
 
 
 #: Most rows of a shard, on average.
@@ -34,8 +34,10 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str, p
     """(id, source, tokens): rows don't leave their partition; null and empty texts have no tokens, a null source is its own."""
     types = {f.name: f.dataType.simpleString() for f in docs.select(id_col, source_col).schema}
 
+    words = shipped(docs, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = loaded(path).encode
+        encode = loaded(path, words.value).encode
         for b in batches:
             n = pa.array([len(encode(t.as_py())) for t in b.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), n], ["id", "source", "tokens"])
