@@ -5,11 +5,11 @@ added; the target sentences are emissions, a jump between source sentences costs
 decoded. A sentence's emission weighs each word's translation against a language model of the target language, so that common
 phrases count little, and names, figures and rare words much. It is taken over clauses, so a span emits its two parts in turn.
 
-Texts are tagged and cut into words once (``prepared``). Lexicons are word translation models. A bounded sample per pair of languages gives a first one
-(EM over co-occurring words, first in whole texts, then in the sentences that these align; pairs of languages without the most common source language are composed
-through it). Then all texts count: each target sentence with the source sentence that the first lexicon finds for it, as sums of expected translations
+Texts are tagged and cut into words once (``prepared``). Lexicons are word translation models, and all texts count for them. A first one is had by EM in Spark over
+co-occurring words, first in whole texts, then in the sentences that these align; pairs of languages without the most common source language are composed
+through it. Then each target sentence counts with the source sentence that the first lexicon finds for it, as sums of expected translations
 by word in partitions and then over all; what few sentences say is drawn towards the first lexicon. The language model counts all texts as well. The chances of jumps
-and of the null state are counted over decoded paths of the sample, in two rounds.
+and of the null state are counted over the decoded paths of all texts, in two rounds; emissions don't depend on them and are taken once.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,13 @@ from pyspark.sql import functions as F
 from ..runtime import written
 from .langid import Languages, sentences, without_asides
 
-#: Bounds of the first lexicon: text pairs per pair of languages, and most frequent words of a language in them; others are left to the counts over all texts.
-SAMPLE_PAIRS, FIRST_WORDS = 300, 3000
+#: Rounds of EM over whole texts and over the sentences that these align.
+TEXT_ROUNDS, SENTENCE_ROUNDS = 8, 6
+#: Texts, or pairs of sentences, whose expected translations a task sums at a time; cells of the table that it holds for that, pairs of words that it
+#: takes at once, and source words of a row of sums.
+TEXTS, SENTENCES, CELLS, PIECE, ROWS = 4_000, 16_000, 8_000_000, 1_000_000, 64
+#: Share of a word's likeliest translation from which on another is told apart in EM; the chance of those below is even.
+APART = 0.01
 #: What the first lexicon is worth, in pairs of sentences, beside those counted over all texts.
 PRIOR = 3.0
 #: How likely a translation must be, and how many pairs of sentences must have the word, if the first lexicon doesn't have it.
@@ -43,8 +49,8 @@ LEXICON_WORDS, SUCCESSIONS = 50_000, 200_000
 HELD = 300_000
 #: Pairs of sentences with a word from which on its translations are known.
 SEEN = 3
-#: Rounds in which the chances of jumps and of the null state are counted, and texts per pair of languages.
-JUMP_ROUNDS, JUMP_TEXTS = 2, 25
+#: Rounds in which the chances of jumps and of the null state are counted.
+JUMP_ROUNDS = 2
 #: Least log odds of a pair; least and most cost of leaving clauses out, which else is what they speak against the source; bounds of the weight of
 #: a word without its translation, a figure and a name that aren't there, a name, a figure and a word that are.
 LEAST, CUT, CUT_MOST = 3.5, 0.7, 2.5
@@ -122,64 +128,223 @@ class Lexicon:
         return min(0.98, max(1e-6, p))
 
 
-def _em(docs: list[tuple[list[str], list[str]]], vs: dict[str, int], vt: dict[str, int], start: np.ndarray | None, rounds: int) -> np.ndarray:
-    """p(target word | source word); row 0 is the empty source word."""
-    ids = [(np.array(sorted({vs[w] for w in s if w in vs})) + 1, np.array(sorted({vt[w] for w in t if w in vt}))) for s, t in docs]
-    ids = [(np.concatenate([[0], s]), t) for s, t in ids if len(s) and len(t)]
-    table = start if start is not None else np.full((len(vs) + 1, len(vt)), 1.0 / max(1, len(vt)), dtype=np.float32)
+@dataclass
+class Table:
+    """p(target word | source word) by number; word 0 is the empty source word. Of each source word, what each other translation has, and the texts with it."""
+
+    source: np.ndarray
+    target: np.ndarray
+    p: np.ndarray
+    rest: np.ndarray
+    docs: np.ndarray
+
+    def dense(self, lo: int, hi: int) -> np.ndarray:
+        """All source words by the target words from lo to hi."""
+        out = np.repeat(self.rest[:, None], hi - lo, axis=1)
+        here = (self.target >= lo) & (self.target < hi)
+        out[self.source[here], self.target[here] - lo] = self.p[here]
+        return out
+
+    def sparse(self, src: list[str], tgt: list[str], keep: int = 12, least: float = 0.03) -> dict[str, dict[str, float]]:
+        out: dict[str, dict[str, float]] = defaultdict(dict)
+        some = np.flatnonzero((self.source > 0) & (self.p >= least))
+        for i in some[np.lexsort((self.target[some], -self.p[some], self.source[some]))]:
+            if len(row := out[src[self.source[i] - 1]]) < keep:
+                row[tgt[self.target[i]]] = float(self.p[i])
+        return dict(out)
+
+    def close(self, src: list[str], tgt: list[str], least: float = 0.3) -> dict[str, dict[str, float]]:
+        """How near each translation comes to the best one."""
+        best = np.zeros(len(self.rest), dtype=np.float32)
+        np.maximum.at(best, self.source, self.p)
+        out: dict[str, dict[str, float]] = defaultdict(dict)
+        for i in np.flatnonzero((self.source > 0) & (self.p >= least * best[self.source])):
+            out[src[self.source[i] - 1]][tgt[self.target[i]]] = float(self.p[i] / best[self.source[i]])
+        return dict(out)
+
+
+def _sums(docs: DataFrame, sizes: dict[str, int], tables: dict[tuple[str, str], Table]) -> DataFrame:
+    """(a, b, block, at, n): expected translations summed over docs, by ROWS source words; of each word also the docs with it and the sum of all its translations, after the last target word."""
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
+
+    def summed(a: str, b: str, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        n_s, n_t, table = sizes[a] + 1, sizes[b], shared.value.get((a, b))
+        width = max(1, CELLS // n_s)
+        s_all, t_all = np.concatenate([s for s, _ in held]), np.concatenate([t for _, t in held])
+        s_len, t_len = (np.array([len(d[k]) for d in held]) for k in (0, 1))
+        seen, s_from, doc = np.bincount(s_all, minlength=n_s), np.cumsum(s_len) - s_len, np.repeat(np.arange(len(held)), t_len)
+        for lo in range(0, n_t, width):
+            w = min(n_t, lo + width) - lo
+            p = table.dense(lo, lo + w).ravel() if table else np.ones(n_s * w, dtype=np.float32)
+            count = np.zeros(n_s * w)
+            here = (t_all >= lo) & (t_all < lo + w)
+            t, n, at_s = t_all[here] - lo, s_len[doc[here]], s_from[doc[here]]
+            end = np.cumsum(n)
+            k = 0
+            while k < len(t):  # each target word with all source words of its text
+                stop = max(k + 1, int(np.searchsorted(end, end[k] - n[k] + PIECE, "right")))
+                own, start = n[k:stop], end[k:stop] - n[k:stop] - (end[k] - n[k])
+                at = s_all[np.repeat(at_s[k:stop] - start, own) + np.arange(own.sum())] * w + np.repeat(t[k:stop], own)
+                part = p[at]
+                part /= np.repeat(np.add.reduceat(part, start), own)
+                count += np.bincount(at, part, len(count))
+                k = stop
+            count = count.reshape(n_s, w)
+            least = 0.1 * APART * count.max(axis=1, keepdims=True)
+            least[0] = 0
+            rows = []
+            for block in range(0, n_s, ROWS):
+                own = count[block : block + ROWS]
+                i, j = np.nonzero((own > 0) & (own >= least[block : block + ROWS]))
+                k = np.arange(len(own)) * (n_t + 2) + n_t
+                at = np.concatenate([i * (n_t + 2) + j + lo, k, k + 1]).astype(np.int32)
+                n = np.concatenate([own[i, j], seen[block : block + ROWS] if lo == 0 else np.zeros(len(own)), own.sum(axis=1)]).astype(np.float32)
+                rows.append((a, b, block, at.tobytes(), n.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["a", "b", "block", "at", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, held = None, []
+        for batch in batches:
+            for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and ((a, b) != pair or len(held) >= SENTENCES):
+                    yield from summed(*pair, held)
+                    held = []
+                pair = a, b
+                held.append((np.frombuffer(s, np.int32), np.frombuffer(t, np.int32)))
+        if held:
+            yield from summed(*pair, held)
+
+    return docs.mapInArrow(run, "a string, b string, block int, at binary, n binary")
+
+
+def _em(docs: DataFrame, sizes: dict[str, int], tables: dict[tuple[str, str], Table], rounds: int) -> dict[tuple[str, str], Table]:
+    """Tables by pair of languages after rounds of EM over all docs (a, b, s, t: the numbers of their words), from ``tables`` or from even chances.
+
+    To the driver and to all tasks go the translations that APART tells apart, of as many words as ``sizes`` has.
+    """
+
+    def merged(key: tuple, pieces: pa.Table) -> pa.Table:
+        a, b, block = (x.as_py() for x in key)
+        n_t, n_s = sizes[b], min(ROWS, sizes[a] + 1 - key[2].as_py())
+        c = np.zeros(n_s * (n_t + 2))
+        for at, n in sorted(zip(pieces["at"].to_pylist(), pieces["n"].to_pylist())):
+            c[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.float32)
+        c = c.reshape(n_s, n_t + 2)
+        p = c[:, :n_t] / np.maximum(c[:, n_t + 1 :], 1e-9)
+        least = APART * p.max(axis=1, keepdims=True)
+        if block == 0:
+            least[0] = 0
+        kept = (p > 0) & (p >= least)
+        i, j = np.nonzero(kept)
+        rest = np.maximum(1e-9, (1 - np.where(kept, p, 0).sum(axis=1)) / np.maximum(1, n_t - kept.sum(axis=1)))
+        packed = [(i + block).astype(np.int32), j.astype(np.int32), p[i, j].astype(np.float32), rest.astype(np.float32), c[:, n_t].astype(np.float32)]
+        return pa.Table.from_pydict({"a": [a], "b": [b], "block": pa.array([block], pa.int32()), **{k: [x.tobytes()] for k, x in zip(("s", "t", "p", "rest", "docs"), packed)}})
+
     for _ in range(rounds):
-        count = np.full_like(table, 1e-6)
-        for s, t in ids:
-            part = table[np.ix_(s, t)]
-            count[np.ix_(s, t)] += part / part.sum(axis=0, keepdims=True)
-        table = count / count.sum(axis=1, keepdims=True)
-    return table
+        done = _sums(docs, sizes, tables).groupBy("a", "b", "block").applyInArrow(merged, "a string, b string, block int, s binary, t binary, p binary, rest binary, docs binary")
+        parts: dict[tuple[str, str], list] = defaultdict(list)
+        for a, b, block, *columns in _columns(done, "a", "b", "block", "s", "t", "p", "rest", "docs"):
+            parts[a, b].append((block, columns))
+        tables = {}
+        for pair, rows in parts.items():
+            rows.sort()
+            tables[pair] = Table(*(np.frombuffer(b"".join(c[k] for _, c in rows), kind) for k, kind in enumerate((np.int32, np.int32, np.float32, np.float32, np.float32))))
+    return tables
 
 
-def _sparse(table: np.ndarray, src: list[str], tgt: list[str], keep: int = 12, least: float = 0.03) -> dict[str, dict[str, float]]:
-    out = {}
-    for i, w in enumerate(src, 1):
-        top = np.argsort(-table[i])[:keep]
-        row = {tgt[j]: float(table[i, j]) for j in top if table[i, j] >= least}
-        if row:
-            out[w] = row
-    return out
+def _spread(docs: DataFrame, each: int) -> DataFrame:
+    """Docs by pair of languages, in parts of about ``each``: the fewer parts, the fewer sums of the same words."""
+    parts = {(r.a, r.b): -(-r.n // each) for r in docs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per pair of languages
+    if not parts:
+        return docs
+    key = F.create_map(*[F.lit(x) for (a, b), k in parts.items() for x in (f"{a}\t{b}", k)])[F.concat_ws("\t", "a", "b")]
+    return docs.withColumn("part", F.pmod(F.xxhash64("s", "t"), key)).repartition(max(2, sum(parts.values())), "a", "b", "part").sortWithinPartitions("a", "b", "part").drop("part")
 
 
-def _vocabulary(texts: list[list[str]]) -> list[str]:
-    n = Counter(w for t in texts for w in set(t) if not w[0].isdigit())
-    return [w for w, k in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:FIRST_WORDS] if k >= 2]
-
-
-def _learn(docs: list[tuple[list[list[str]], list[list[str]]]]) -> dict[str, dict[str, float]]:
-    """A table from text pairs, each a list of sentences on either side."""
-    flat = [([w for s in a for w in s], [w for t in b for w in t]) for a, b in docs]
-    src, tgt = _vocabulary([a for a, _ in flat]), _vocabulary([b for _, b in flat])
-    if not src or not tgt:
-        return {}
-    vs, vt = {w: i for i, w in enumerate(src)}, {w: i for i, w in enumerate(tgt)}
-    table = _em(flat, vs, vt, None, 8)
-    close = table / table.max(axis=1, keepdims=True)  # how near each translation comes to the best one
-    close[close < 0.3] = 0
-    close[0] = 0
-    paired = []
-    for a, b in docs:
-        rows = [[vs[w] + 1 for w in s if w in vs] for s in a]
-        for t in b:
-            best, at = 0.0, None
-            cols = [vt[w] for w in t if w in vt]
-            for k, s in enumerate(a):
-                hit = float(close[np.ix_(rows[k], cols)].max(axis=0).sum()) if rows[k] and cols else 0.0
-                hit += sum(1.0 for w in set(t) if (w[0].isdigit() or w not in vt) and w in s)
-                if hit > best:
-                    best, at = hit, k
-            if at is not None and best > 0.5 * len(t):
-                paired.append((a[at], t))
-    # a word needs some occurrences; one that too few pairs of sentences have keeps what whole texts say, if enough texts have it
-    in_pairs = Counter(w for s, _ in paired for w in set(s))
-    in_texts = Counter(w for a, _ in flat for w in set(a))
-    out = {w: r for w, r in _sparse(table, src, tgt).items() if in_pairs[w] < SEEN and in_texts[w] >= 4 * SEEN}
-    return out | {w: r for w, r in _sparse(_em(paired, vs, vt, table, 6), src, tgt).items() if in_pairs[w] >= SEEN}
+def _vocabularies(texts: DataFrame) -> dict[str, list[str]]:
+    """The words of each language that two texts have, the most frequent ones first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*((*k, v) for k, v in n.items())))
+            n.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["a", "x", "n"])
+
+        for batch in batches:
+            for s_tags, s_toks, s_lang, t_tags, t_toks, t_lang in zip(*(c.to_pylist() for c in batch.columns)):
+                for lang, tags, toks in ((s_lang, s_tags, s_toks), (t_lang, t_tags, t_toks)):
+                    n.update({(lang, w) for s in _words_in(lang, *_unpacked(tags, toks)) for w in s if not w[0].isdigit()})
+                if len(n) > HELD:
+                    yield out()
+        if n:
+            yield out()
+
+    counted = texts.select("s_tags", "s_toks", "s_lang", "t_tags", "t_toks", "t_lang").mapInArrow(run, "a string, x string, n long").groupBy("a", "x").agg(F.sum("n").alias("n")).where("n >= 2")
+    by = Window.partitionBy("a").orderBy(F.desc("n"), "x")
+    made: dict[str, list] = defaultdict(list)
+    for a, x, r in _columns(counted.withColumn("r", F.row_number().over(by)).where(F.col("r") <= LEXICON_WORDS), "a", "x", "r"):
+        made[a].append((r, x))
+    return {a: [x for _, x in sorted(rows)] for a, rows in made.items()}
+
+
+def _docs(texts: DataFrame, numbers: dict[str, dict[str, int]], close: dict | None) -> DataFrame:
+    """(a, b, s, t): the numbers of the words of whole texts, in both directions; with ``close``, of the pairs of sentences that belong together by it.
+
+    close: (a, b) -> word -> how near each of its translations comes to the best one.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((numbers, close))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, near_by = shared.value
+        for batch in batches:
+            rows = []
+            for s_tags, s_toks, s_lang, t_tags, t_toks, t_lang in zip(*(c.to_pylist() for c in batch.columns)):
+                left, right = _words_in(s_lang, *_unpacked(s_tags, s_toks)), _words_in(t_lang, *_unpacked(t_tags, t_toks))
+                for a, b, src, tgt in ((s_lang, t_lang, left, right), (t_lang, s_lang, right, left)):
+                    for s, t in _paired(src, tgt, near_by.get((a, b), {}), ids.get(b, {})) if near_by is not None else [([w for x in src for w in x], [w for x in tgt for w in x])]:
+                        i = sorted({ids[a][w] for w in s if w in ids.get(a, ())})
+                        j = sorted({ids[b][w] for w in t if w in ids.get(b, ())})
+                        if i and j:
+                            rows.append((a, b, np.array([0, *(x + 1 for x in i)], np.int32).tobytes(), np.array(j, np.int32).tobytes()))
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.string(), pa.string(), pa.binary(), pa.binary()))], ["a", "b", "s", "t"])
+
+    return texts.select("s_tags", "s_toks", "s_lang", "t_tags", "t_toks", "t_lang").mapInArrow(run, "a string, b string, s binary, t binary")
+
+
+def _paired(source: list[list[str]], target: list[list[str]], close: dict, known: dict[str, int]) -> Iterator[tuple[list[str], list[str]]]:
+    """Each target sentence with the source sentence that most of its words come from, if half of them do."""
+    made = [(_best(close, s), set(s)) for s in source]
+    for t in target:
+        top, at = 0.5 * len(t), None
+        same = [w for w in set(t) if w[0].isdigit() or w not in known]
+        for k, (best, bag) in enumerate(made):
+            hit = sum(best.get(w, 0.0) for w in t) + sum(w in bag for w in same)
+            if hit > top:
+                top, at = hit, k
+        if at is not None:
+            yield source[at], t
+
+
+def _direct(texts: DataFrame) -> dict[tuple[str, str], dict]:
+    """Tables from all texts, which are of two languages each, for these languages in both directions."""
+    vocab = _vocabularies(texts)
+    sizes, numbers = {a: len(v) for a, v in vocab.items()}, {a: {w: i for i, w in enumerate(v)} for a, v in vocab.items()}
+    whole = _em(written(_spread(written(_docs(texts, numbers, None), "words"), TEXTS), "words"), sizes, {}, TEXT_ROUNDS)
+    close = {(a, b): table.close(vocab[a], vocab[b]) for (a, b), table in whole.items()}
+    fine = _em(written(_spread(written(_docs(texts, numbers, close), "paired"), SENTENCES), "paired"), sizes, whole, SENTENCE_ROUNDS)
+    out = {}
+    for (a, b), table in whole.items():
+        # a word needs some occurrences; one that too few pairs of sentences have keeps what whole texts say, if enough texts have it
+        in_pairs = fine[a, b].docs if (a, b) in fine else np.zeros(len(table.docs))
+        few = {w for i, w in enumerate(vocab[a], 1) if in_pairs[i] < SEEN}
+        often = {w for i, w in enumerate(vocab[a], 1) if table.docs[i] >= 4 * SEEN}
+        out[a, b] = {w: r for w, r in table.sparse(vocab[a], vocab[b]).items() if w in few and w in often}
+        if (a, b) in fine:
+            out[a, b] |= {w: r for w, r in fine[a, b].sparse(vocab[a], vocab[b]).items() if w not in few}
+    return out
 
 
 def _compose(first: dict, second: dict, keep: int = 12, least: float = 0.03) -> dict:
@@ -195,16 +360,11 @@ def _compose(first: dict, second: dict, keep: int = 12, least: float = 0.03) ->
     return out
 
 
-def _tables(docs: dict, hub: str) -> dict:
-    """First tables of all pairs of languages; those without the hub go through it."""
-    langs, out = sorted({x for p in docs for x in p}), {}
-
-    def both(a: str, b: str) -> list:
-        return docs.get((a, b), []) + [(y, x) for x, y in docs.get((b, a), [])]
-
-    for x in langs:
-        if x != hub:
-            out[hub, x], out[x, hub] = _learn(both(hub, x)), _learn(both(x, hub))
+def _tables(texts: DataFrame, hub: str) -> dict:
+    """First tables of all pairs of languages, from all texts; those without the hub go through it."""
+    langs = sorted({x for r in texts.select("s_lang", "t_lang").distinct().collect() for x in r})  # a row per pair of languages
+    told = _direct(texts.where((F.col("s_lang") == hub) | (F.col("t_lang") == hub)))
+    out = {pair: told.get(pair, {}) for a in langs for b in langs if a != b and hub in (pair := (a, b))}
     for a in langs:
         for b in langs:
             if a != b and hub not in (a, b):
@@ -340,29 +500,15 @@ def _columns(df: DataFrame, *names: str) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
-def fit(texts: DataFrame, sample_pairs: int = SAMPLE_PAIRS) -> Lexicon:
-    """A lexicon from prepared texts, all of them; only the first lexicon and the jumps come from at most ``sample_pairs`` per pair of languages.
+def _learnt(texts: DataFrame) -> Lexicon:
+    """A lexicon from prepared texts, all of them, without chances of jumps.
 
-    Languages are those found in the texts. To the driver come the sample, and of the counts the translations that count and the most frequent successions of words.
+    Languages are those found in the texts. To the driver come the translations that count and the most frequent successions of words.
     """
     told = texts.where("s_lang is not null and t_lang is not null and s_lang != t_lang")
     many = sorted(((r.n, r.s_lang) for r in told.groupBy("s_lang").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # a row per language
-    hub = many[0][1] if many else None
-    h = F.xxhash64("s_toks", "t_toks")
-    most = F.when((F.col("s_lang") == F.lit(hub)) | (F.col("t_lang") == F.lit(hub)), sample_pairs).otherwise(JUMP_TEXTS)
-    cells = told.withColumn("h", h).withColumn("cell", F.pmod("h", most))
-    row = F.struct("s_tags", "s_toks", "t_tags", "t_toks")
-    sample = cells.groupBy("s_lang", "t_lang", "cell").agg(F.min_by(row, F.struct("h", row)).alias("p")).orderBy("s_lang", "t_lang", "cell").collect()
     out = Lexicon()
-    docs: dict[tuple[str, str], list] = defaultdict(list)
-    for r in sample:
-        docs[r.s_lang, r.t_lang].append((_words_in(r.s_lang, *_unpacked(r.p.s_tags, r.p.s_toks)), _words_in(r.t_lang, *_unpacked(r.p.t_tags, r.p.t_toks))))
-    first: dict = {}
-    if docs:
-        first = _tables(docs, hub)
-    told_by: Counter = Counter()
-    paths = [r for r in sample if (told_by.update([(r.s_lang, r.t_lang)]) or told_by[r.s_lang, r.t_lang] <= JUMP_TEXTS)]
-    del sample, docs
+    first = _tables(told, many[0][1]) if many else {}
     scaled = {pair: {w: {t: p / max(row.values()) for t, p in row.items() if p >= 0.3 * max(row.values())} for w, row in table.items()} for pair, table in first.items()}
     known: dict[str, set] = defaultdict(set)
     for (_, b), table in first.items():
@@ -391,19 +537,13 @@ def fit(texts: DataFrame, sample_pairs: int = SAMPLE_PAIRS) -> Lexicon:
         pairs_[a][x][y] = n
         pairs_[a][x][""] = every
     out.pairs = {lang: dict(x) for lang, x in pairs_.items()}
-    out.close()
-    aligner = Aligner(out)
-    for _ in range(JUMP_ROUNDS):
-        seen, none = Counter(dict.fromkeys(JUMPS, 1.0)), 1
-        for r in paths:
-            place = -1
-            for span in aligner.path(*_unpacked(r.p.s_tags, r.p.s_toks), *_unpacked(r.p.t_tags, r.p.t_toks)):
-                none += not span
-                for i in span:
-                    seen[max(-4, min(4, i - place - 1))] += 1
-                    place = i
-        # a sentence with a source, by where it lies, against one without
-        out.jumps = {d: math.log(n / none) for d, n in seen.items()}
+    return out.close()
+
+
+def fit(texts: DataFrame) -> Lexicon:
+    """A lexicon from prepared texts, all of them, with the chances of jumps in their decoded paths."""
+    out = _learnt(texts)
+    out.jumps = _jumps(written(_scored(texts.withColumn("no", F.lit(0)), "no", out), "scored"), out)
     return out
 
 
@@ -447,6 +587,10 @@ class Aligner:
 
     def path(self, tags_l: list, toks_l: list, tags_r: list, toks_r: list) -> list[tuple[int, ...]]:
         """The source sentences of each target sentence: none, one, or the two of a span."""
+        return self.best(self.states(tags_l, toks_l, tags_r, toks_r))
+
+    def states(self, tags_l: list, toks_l: list, tags_r: list, toks_r: list) -> list[list[tuple[float, tuple[int, ...]]]]:
+        """Of each target sentence the source sentences that it may have, the null state first, and its emissions."""
         bags = [{t for t in ts if t not in ",;:"} for ts in toks_l]
         seen = Counter("" if t[0].isdigit() else t for ts in toks_r for t in ts)
         n_seen = sum(seen.values())
@@ -477,6 +621,9 @@ class Aligner:
                             if k != m:
                                 own.append((float(a[k] + b[m]) - CUT, (fits[k], fits[m])))
             states.append(own)
+        return states
+
+    def best(self, states: list[list[tuple[float, tuple[int, ...]]]]) -> list[tuple[int, ...]]:
         path = self._decode(states)
         # where few sentences have a source the null state is more likely for each: decoded again with that
         filled = (sum(bool(s) for s in path) + 1) / (len(path) + 2)
@@ -528,11 +675,13 @@ class Aligner:
         return out[::-1]
 
 
-def align(texts: DataFrame, id_col: str, lexicon: Lexicon) -> DataFrame:
-    """(id, source_sent, target_sent) for prepared texts; sentences count from 1, a merged one gives a row per part.
+_SCORED = "told boolean, sizes binary, odds binary, spans binary"
+
+
+def _scored(texts: DataFrame, id_col: str, lexicon: Lexicon) -> DataFrame:
+    """(id, told, sizes, odds, spans): the states of each text but for the null state, by target sentence; told: both sides have a language of their own.
 
-    Texts with a null or empty side, in the same language or about something else give none. Repeated rows are aligned each. Rows
-    don't leave their partition; the lexicon goes with the task, its size bounded by LEXICON_WORDS and SUCCESSIONS.
+    The lexicon goes with the task, its size bounded by LEXICON_WORDS and SUCCESSIONS.
     """
     kind = texts.select(id_col).schema[0].dataType.simpleString()
     made: list[Aligner] = []
@@ -541,14 +690,82 @@ def align(texts: DataFrame, id_col: str, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             made.append(Aligner(shared.value))
+        for b in batches:
+            rows = []
+            for i, s_tags, s_toks, s_lang, t_tags, t_toks, t_lang in zip(*(c.to_pylist() for c in b.columns)):
+                states = [own[1:] for own in made[0].states(*_unpacked(s_tags, s_toks), *_unpacked(t_tags, t_toks))]
+                spans = np.array([(*span, -1)[:2] for own in states for _, span in own], np.int32)
+                rows.append((i, bool(s_lang and t_lang and s_lang != t_lang), np.array([*map(len, states)], np.int32).tobytes(), np.array([e for own in states for e, _ in own], np.float64).tobytes(), spans.tobytes()))
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = (b.column(0).type, pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds)], [id_col, *(x.split()[0] for x in _SCORED.split(", "))])
+
+    return texts.select(id_col, "s_tags", "s_toks", "s_lang", "t_tags", "t_toks", "t_lang").mapInArrow(run, f"`{id_col}` {kind}, {_SCORED}")
+
+
+def _states(sizes: bytes, odds: bytes, spans: bytes) -> list[list[tuple[float, tuple[int, ...]]]]:
+    own = iter(zip(np.frombuffer(odds, np.float64).tolist(), np.frombuffer(spans, np.int32).reshape(-1, 2).tolist()))
+    return [[(0.0, ()), *((e, (i,) if j < 0 else (i, j)) for e, (i, j) in islice(own, n))] for n in np.frombuffer(sizes, np.int32).tolist()]
+
+
+def _jumps(scored: DataFrame, lexicon: Lexicon) -> dict[int, float]:
+    """Log odds of a sentence with a source, by where it lies, against one without, counted over the decoded paths of all texts."""
+
+    def counter(aligner: Aligner):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter = Counter()
+            for b in batches:
+                for x in zip(*(c.to_pylist() for c in b.columns)):
+                    place = -1
+                    for span in aligner.best(_states(*x)):
+                        seen[None] += not span
+                        for i in span:
+                            seen[max(-4, min(4, i - place - 1))] += 1
+                            place = i
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int32()), pa.array(seen.values(), pa.int64())], ["d", "n"])
+
+        return run
+
+    jumps = lexicon.jumps
+    for _ in range(JUMP_ROUNDS):
+        told = scored.where("told").select("sizes", "odds", "spans")
+        counts = told.mapInArrow(counter(Aligner(Lexicon(jumps=jumps))), "d int, n long").groupBy("d").agg(F.sum("n").alias("n"))
+        seen = dict.fromkeys([None, *JUMPS], 1.0)
+        for r in counts.collect():  # ten rows
+            seen[r.d] += r.n
+        none = seen.pop(None)
+        jumps = {d: math.log(n / none) for d, n in seen.items()}
+    return jumps
+
+
+def _decoded(scored: DataFrame, id_col: str, jumps: dict[int, float]) -> DataFrame:
+    kind = scored.select(id_col).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = Aligner(Lexicon(jumps=jumps))
         for b in batches:
             ids, left, right = [], [], []
-            for i, s_tags, s_toks, t_tags, t_toks in zip(*(c.to_pylist() for c in b.columns)):
-                for j, span in enumerate(made[0].path(*_unpacked(s_tags, s_toks), *_unpacked(t_tags, t_toks)), 1):
-                    for x in dict.fromkeys(span):
+            for i, *x in zip(*(c.to_pylist() for c in b.columns)):
+                for j, span in enumerate(aligner.best(_states(*x)), 1):
+                    for k in dict.fromkeys(span):
                         ids.append(i)
-                        left.append(x + 1)
+                        left.append(k + 1)
                         right.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(left, pa.int32()), pa.array(right, pa.int32())], [id_col, "source_sent", "target_sent"])
 
-    return texts.select(id_col, "s_tags", "s_toks", "t_tags", "t_toks").mapInArrow(run, f"`{id_col}` {kind}, source_sent int, target_sent int")
+    return scored.select(id_col, "sizes", "odds", "spans").mapInArrow(run, f"`{id_col}` {kind}, source_sent int, target_sent int")
+
+
+def align(texts: DataFrame, id_col: str, lexicon: Lexicon) -> DataFrame:
+    """(id, source_sent, target_sent) for prepared texts; sentences count from 1, a merged one gives a row per part.
+
+    Texts with a null or empty side, in the same language or about something else give none. Repeated rows are aligned each. Rows don't leave their partition.
+    """
+    return _decoded(_scored(texts, id_col, lexicon), id_col, lexicon.jumps)
+
+
+def align_all(texts: DataFrame, id_col: str) -> DataFrame:
+    """``align`` with the lexicon that is fitted to the texts themselves, whose emissions are taken once."""
+    lexicon = _learnt(texts)
+    scored = written(_scored(texts, id_col, lexicon), "scored")
+    return _decoded(scored, id_col, _jumps(scored, lexicon))

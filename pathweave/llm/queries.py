@@ -47,7 +47,7 @@ def p2_segments(spark, d):
 def p4_found(spark, d):
     joined = _texts(spark, d).join(_books(spark, d), "ID").select("text_ID", "source", F.col("descr").alias("target")).where("source is not null and target is not null")
     texts = written(alignment.prepared(_spread(joined, "text_ID"), "text_ID", _dictionaries(spark, d)), "prepared")
-    found = alignment.align(_spread(texts, "text_ID"), "text_ID", alignment.fit(texts))
+    found = alignment.align_all(_spread(texts, "text_ID"), "text_ID")
     return found.select("text_ID", F.col("source_sent").alias("book_sent"), F.col("target_sent").alias("text_sent"))
 
 

@@ -94,3 +94,60 @@ def test_a_slip_near_a_word_of_the_lexicon_counts():
     a = A.Aligner(A.Lexicon(content={"en": {"river"}}))
     w = a._weights(["rivar"], "de", [({}, {"river"}), ({}, {"house"})], A.Counter(), 0, {})
     assert w[0, 0] > w[1, 0]
+
+
+def test_a_translation_in_few_of_many_texts_is_learnt(spark, made):
+    rng = random.Random(5)
+    rows = [(i, *text(rng, 5)[:2]) for i in range(2000)]
+    some = [i for i, s, t in rows if s.count("house") == 1 and t.count("Haus") == 1 and "ouse" not in t][:8]
+    rows = [(i, s.replace("house", "lantern"), t.replace("Haus", "Laterne")) if i in some else (i, s, t) for i, s, t in rows]
+    df = A.prepared(spark.createDataFrame(rows, "id int, source string, target string"), "id", made[1])
+    row = A.fit(df).tables["en", "de"].get("lantern", {})
+    assert len(some) == 8 and row and max(row, key=row.get) == "laterne", row
+
+
+def test_jumps_are_counted_over_all_texts(made):
+    _, dictionaries, pairs, lexicon = made
+    texts = [(*A._unpacked(r.s_tags, r.s_toks), *A._unpacked(r.t_tags, r.t_toks)) for r in A.prepared(pairs, "id", dictionaries).where("s_lang != t_lang").collect()]
+    jumps, want = lexicon.jumps, dict(A.JUMPS)
+    aligner = A.Aligner(lexicon)
+    try:
+        for _ in range(A.JUMP_ROUNDS):
+            lexicon.jumps, seen, none = want, dict.fromkeys(A.JUMPS, 1.0), 1.0
+            for x in texts:
+                place = -1
+                for span in aligner.path(*x):
+                    none += not span
+                    for i in span:
+                        seen[max(-4, min(4, i - place - 1))] += 1
+                        place = i
+            want = {d: A.math.log(n / none) for d, n in seen.items()}
+    finally:
+        lexicon.jumps = jumps
+    assert len(texts) > 400 and jumps == pytest.approx(want)
+
+
+def test_em_equals_a_dense_one(spark):
+    rng = A.np.random.default_rng(3)
+    n_s, n_t = 4000, 5000  # more than a task's table holds at once
+    docs = [(A.np.unique(rng.integers(0, n_s, 20)) + 1, A.np.unique(rng.integers(0, n_t, 25))) for _ in range(40)]
+    docs += docs[:20]
+    df = spark.createDataFrame([("a", "b", bytearray(A.np.array([0, *s], "int32").tobytes()), bytearray(A.np.array(t, "int32").tobytes())) for s, t in docs], "a string, b string, s binary, t binary")
+    got = A._em(A._spread(df, 7), {"a": n_s, "b": n_t}, {}, 3)["a", "b"]
+    want = A.np.full((n_s + 1, n_t), 1.0)
+    for _ in range(3):
+        count = A.np.zeros_like(want)
+        for s, t in docs:
+            at = A.np.ix_([0, *s], t)
+            count[at] += want[at] / want[at].sum(axis=0)
+        want = count / A.np.maximum(count.sum(axis=1, keepdims=True), 1e-9)
+    kept = want >= 0.02 * A.np.maximum(want.max(axis=1, keepdims=True), 1e-9)
+    assert A.np.abs(got.dense(0, n_t) - want)[kept].max() < 1e-3
+    assert got.docs.sum() == sum(len(s) + 1 for s, _ in docs)
+
+
+def test_fitted_to_the_texts_themselves(made):
+    _, dictionaries, pairs, lexicon = made
+    texts = A.prepared(pairs, "id", dictionaries)
+    assert {tuple(r) for r in A.align_all(texts, "id").collect()} == {tuple(r) for r in A.align(texts, "id", lexicon).collect()}
+    assert A.align_all(texts.limit(0), "id").collect() == []
